@@ -44,7 +44,7 @@ def source_epochs(docs: DataFrame, weights: Mapping[str, float] = WEIGHTS, defau
         .withColumn("filled", F.coalesce(F.sum(F.when(F.col("w") > 0, F.col("cap"))).over(upto), F.lit(0.0)))
         .withColumn("open", F.sum("w").over(whole) - F.coalesce(F.sum("w").over(upto), F.lit(0.0)))
         .withColumn("l", F.when((F.col("w") > 0) & (F.col("open") > 0), (F.col("total") - F.col("filled")) / F.col("open")))
-        .withColumn("level", F.min(F.when(F.col("l") <= F.col("ratio"), F.col("l"))).over(whole))
+        .withColumn("level", F.max(F.when(F.col("l") <= F.col("ratio"), F.col("l"))).over(whole))
     )
     share = F.when(F.col("w") > 0, F.least(F.col("cap"), F.coalesce(F.col("w") * F.col("level"), F.col("cap")))).otherwise(0.0)
     return t.select("source", F.col("n").alias("chars"), share.alias("target_chars"), F.when(F.col("n") > 0, share / F.col("n")).otherwise(0.0).alias("epochs"))
@@ -77,7 +77,7 @@ c AS (SELECT *, cap / w AS ratio, CAST({float(budget)} AS DOUBLE) * sum(n) OVER
   coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS filled,
   sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY cap / w, source NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS open FROM w),
 l AS (SELECT *, (total - filled) / open AS l FROM c),
-e AS (SELECT source, CASE WHEN n > 0 THEN least(cap, coalesce(w * min(CASE WHEN l <= ratio THEN l END) OVER (), cap)) / n ELSE 0.0 END AS epochs FROM l),
+e AS (SELECT source, CASE WHEN n > 0 THEN least(cap, coalesce(w * max(CASE WHEN l <= ratio THEN l END) OVER (), cap)) / n ELSE 0.0 END AS epochs FROM l),
 d AS (SELECT doc_id, d.source, epochs, CAST('0x' || substr(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u
   FROM documents d JOIN e ON d.source IS NOT DISTINCT FROM e.source),
 t AS (SELECT doc_id, source, CAST(floor(epochs) AS INTEGER) + CASE WHEN u < epochs - floor(epochs) THEN 1 ELSE 0 END AS times FROM d)
