@@ -28,6 +28,19 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def reach_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it.
+
+    Where the package was installed or shipped to the executors, the extra
+    folder changes nothing.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    have = env.get("PYTHONPATH", "")
+    if root not in have.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, have) if x)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage.
 

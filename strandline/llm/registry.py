@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import bpe, mixing, quality, sharding, toxicity
+from strandline.llm import bpe, mixing, ngram_join, quality, sharding, toxicity
+from strandline.llm.common import reach_package
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reach_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -34,8 +36,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_pairs(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_mixing, op5_toxicity, op6_bpe, op7_quality)}
+    return {f.__name__: f for f in (op1_sharding, op2_mixing, op5_toxicity, op6_bpe, op7_quality, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
