@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import bpe, mixing, ngram_join, quality, sharding, toxicity
+from strandline.llm import bpe, mixing, ngram_join, pii, quality, sharding, toxicity
 from strandline.llm.common import reach_package
 
 
@@ -23,6 +23,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit_on(docs, table(spark, sf_dir, "labels")))
@@ -41,7 +45,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_mixing, op5_toxicity, op6_bpe, op7_quality, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_sharding, op2_mixing, op3_pii, op5_toxicity, op6_bpe, op7_quality, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
