@@ -101,7 +101,7 @@ def features(text: str, s: Span) -> list[float]:
         float(v[0] == "+"), float("@" in v), float(-(counts * np.log2(counts)).sum()), sum(c in string.hexdigits for c in v) / n, float(any(c.isupper() for c in v) and any(c.islower() for c in v)),
         float(bool(groups) and groups[0][:2] in ("19", "20") and len(groups[0]) == 4), float(bool(groups) and groups[-1][:2] in ("19", "20") and len(groups[-1]) == 4), float(bool(groups) and len(groups[0]) <= 2), float(v[:3].isalpha()),
     ]
-    edge = [float(before[-1:].isdigit() or after[:1].isdigit()), float(before[-1:] in ("=", '"', "'", ":")), float(before[-1:] in ("$", "€", "£", "#")), float(bool(re.match(r"\s*(?:%|kg|km|cm|mm|USD|EUR|am|pm|years?|pages?)\b", after))), float("://" in before[-24:] + v)]
+    edge = [float(before[-1:].isdigit() or after[:1].isdigit()), float(before[-1:] in ("=", '"', "'", ":")), float(before[-1:] in ("$", "€", "£", "#")), float(bool(re.match(r"\s*(?:%|kg|km|cm|mm|USD|EUR|am|pm|years?|pages?)\b", after))), float("://" in before[-24:] + v), float(bool(re.match(r"[.\-]\d", after))), float(bool(re.search(r"\d[.\- ]$", before)))]
     return kind + form + edge + [float(bool(c.search(before[-24:]))) for c in _CUES]
 
 
@@ -161,9 +161,16 @@ def _examples(count: int, seed: int) -> Iterator[tuple[str, list[tuple[int, int,
             close = '"' if lead.endswith('"') else ""
             text = left + lead + value + close + tail + right
             start = len(left + lead)
+            spans = [(start, start + len(value), kind)]
+            if rng.random() < 0.3:
+                # another value right after: a span over both is wrong
+                more = pick(KINDS[:5])
+                second = good[more]()
+                text = left + lead + value + close + " " + second + tail + right
+                spans.append((start + len(value + close) + 1, start + len(value + close) + 1 + len(second), more))
             if rng.random() < 0.1:
                 text = text.upper()
-            yield text, [(start, start + len(value), kind)]
+            yield text, spans
         else:
             yield left + pick(bad)() + tail + right, []
 
