@@ -9,7 +9,8 @@ is indexed by its prefix: two sets of Jaccard similarity t share a token there.
 2. Prefix tokens, packed by task and hash range, are grouped by token.  An index
    list is cut into blocks of neighbouring positions; a pair of blocks whose
    positions and sizes leave too little overlap is skipped as a whole.  Sets that
-   have a pair left become members of the list's home, its lowest set.
+   have a pair left become members of the list's home, its lowest set.  Bitmaps of
+   the members' sets bound each pair's overlap and take out members without any.
 3. The full sets of a home's members come together.  A set's answers are its
    overlaps with all others there, from full index lists; the next set is the
    most similar one not yet answered, and its overlaps are those of the last set
@@ -35,7 +36,7 @@ N, THRESHOLD = 2, 0.6
 #: Words and recurring n-grams in the ordering tables.
 MAX_WORDS, MAX_GRAMS = 1 << 18, 1 << 18
 #: Counts from which a task reports a word, or an n-gram.
-LOCAL_WORDS, LOCAL_GRAMS = 4, 4
+LOCAL_WORDS, LOCAL_GRAMS = 2, 3
 #: Members of a home that one task holds at once; sets of a task at most.
 BLOCK = 3000
 #: Entries of an index list that one block has.
@@ -51,6 +52,17 @@ def _sets(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray, np.n
     return words, per_text, grams, owner
 
 
+def _six(grams: np.ndarray) -> bytes:
+    """The low 48 bits of hashes, as a set of them travels."""
+    return grams.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _from_six(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def _distinct(grams: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((grams, owner))
     g, o = grams[order], owner[order]
@@ -115,14 +127,14 @@ def _ordered(texts: list[str | None], n: int, heavy: tuple) -> tuple[np.ndarray,
             f += w[k : len(words) - n + 1 + k]
         f = f[inside[: len(words) - n + 1] == inside[n - 1 :]]
         freq[: len(f)] = f
-    expected = np.rint(np.maximum(freq + np.float32(np.log2(total)), 0)).astype(np.int64)
+    expected = np.rint(np.maximum(freq + np.float32(np.log2(total)), -30)).astype(np.int64)
     order = np.lexsort((grams, owner))
     g, o, x = grams[order], owner[order], expected[order]
     first = np.ones(len(g), bool)
     first[1:] = (g[1:] != g[:-1]) | (o[1:] != o[:-1])
     g, o, x = g[first], o[first], x[first]
     seen = _count_of(g, grams_t, grams_c)
-    rank = np.maximum(x, np.rint(np.log2(np.maximum(seen, 1))).astype(np.int64))
+    rank = np.where(seen > 0, np.maximum(x, np.rint(np.log2(np.maximum(seen, 1))).astype(np.int64)), x)
     order = np.lexsort((g, rank, o))
     return g[order], o[order], np.bincount(o, minlength=len(texts))
 
@@ -325,30 +337,73 @@ def _answers(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, t: flo
             i = int(near[np.argmax(s)]) if len(near) and s.max() > 0.5 else -1
 
 
-def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", forest: bool = False) -> DataFrame:
-    """(a, b, jaccard) for all pairs of ids a < b whose n-gram sets are ``threshold`` similar.
+def _bitmap(grams: np.ndarray) -> bytes:
+    """The set's size and a bitmap of its hashes, of at least twice as many bits."""
+    bits = max(256, 1 << int(2 * len(grams) - 1).bit_length())
+    b = np.zeros(bits, np.uint8)
+    b[(grams & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.int64(len(grams)).tobytes() + np.packbits(b, bitorder="little").tobytes()
 
-    Words are lower-cased and split at white space; a text of fewer than n words
-    has one gram, all its words.  A text without words (null, empty, white space)
-    has no partner, nor has a row with a null id.  Of rows that
-    repeat an id each is compared by itself, and the best similarity of two ids is
-    given.  Ids must be integers.  An empty
-    table gives an empty result; other columns are ignored.
 
-    With ``forest`` only pairs that join groups not joined before are given: the
-    groups are the same, with far fewer rows.
+def _folded(words: np.ndarray, count: int) -> np.ndarray:
+    """Bitmaps (rows of 64-bit words) brought to fewer words."""
+    return np.bitwise_or.reduce(words.reshape(len(words), -1, count), axis=1)
+
+
+def _pruner(t: float):
+    """Members that still have a partner by the bitmaps' bound on the overlap.
+
+    Two sets share at most the common bits and the hashes that fell on a bit
+    already set.  Sets that may be similar differ in size by 1 / t at most, so
+    each is compared with those of its own bitmap size and of larger ones, folded.
+    """
+
+    def prune(group: pa.Table) -> pa.Table:
+        ids, where, home = group["doc_id"].to_numpy(), group["block"].to_numpy(), group["home"][0].as_py()
+        ba, bb = group["ba"][0].as_py(), group["bb"][0].as_py()
+        held = group["payload"].to_pylist()
+        size = np.array([int(np.frombuffer(h, np.int64, 1)[0]) for h in held])
+        count = np.array([(len(h) - 8) // 8 for h in held])
+        keep = np.zeros(len(ids), bool)
+        for c in np.unique(count):
+            small = np.flatnonzero(count == c)
+            x = np.stack([np.frombuffer(held[k], np.uint64, offset=8) for k in small])
+            extra_x = size[small] - np.bitwise_count(x).sum(1)
+            for d in np.unique(count[count >= c]):
+                if d > 2 * c / t:  # larger by more than similar sets can be
+                    continue
+                large = np.flatnonzero(count == d)
+                y = _folded(np.stack([np.frombuffer(held[k], np.uint64, offset=8) for k in large]), int(c))
+                extra_y = size[large] - np.bitwise_count(y).sum(1)
+                step = max(1, 4_000_000 // (len(large) * int(c)))
+                for s in range(0, len(small), step):
+                    i = small[s : s + step]
+                    common = np.bitwise_count(x[s : s + step, None, :] & y[None, :, :]).sum(2, dtype=np.int64)
+                    bound = common + np.minimum(extra_x[s : s + step, None], extra_y[None, :])
+                    a, b = size[i][:, None], size[large][None, :]
+                    ok = (bound >= _need(a, b, t)) & (np.minimum(a, b) >= t * np.maximum(a, b) - 1e-9) & (ids[i][:, None] != ids[large][None, :])
+                    if ba != bb:
+                        ok &= where[i][:, None] != where[large][None, :]
+                    keep[i] |= ok.any(1)
+                    keep[large] |= ok.any(0)
+        left = np.unique(ids[keep])
+        return pa.table({"home": np.full(len(left), home, np.int64), "doc_id": left})
+
+    return prune
+
+
+def _gathered(own: DataFrame, found: DataFrame, n: int, payload) -> DataFrame:
+    """(home, ba, bb, block, doc_id, payload): members with what a task needs of their sets.
+
+    Member k of a home lies in one of its blocks; a task has two blocks, or one
+    with itself.
     """
-    spark = docs.sparkSession
-    heavy = heavy_tokens(docs, n, text_col)
-    found = stored(members(docs, heavy, n, threshold, id_col, text_col), "members")
     sizes = found.groupBy("home").agg(F.count("*").alias("m")).filter("m > 1")
-    # member k of a home lies in block k % blocks; a task has two blocks, or one with itself
     blocked = found.join(sizes, "home").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     tasks = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         F.col("doc_id").alias("__member"), "home", F.least("block", "other").alias("ba"), F.greatest("block", "other").alias("bb"), "block"
     )
     few = found.limit(BROADCAST_MEMBERS + 1).count() <= BROADCAST_MEMBERS
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     per_doc = tasks.groupBy("__member").agg(F.collect_list(F.struct("home", "ba", "bb", "block")).alias("at"))
     chosen = own.join(F.broadcast(per_doc) if few else per_doc, F.col("doc_id") == F.col("__member"))
 
@@ -359,22 +414,43 @@ def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_
                 _, _, grams, owner = _sets(texts[s:e], n)
                 g, o = _distinct(grams, owner)
                 cut = np.searchsorted(o, np.arange(e - s + 1))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[s:e], pa.int64()), pa.array([g[cut[i] : cut[i + 1]].tobytes() for i in range(e - s)], pa.binary()), b.column(2).slice(s, e - s)], ["doc_id", "grams", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[s:e], pa.int64()), pa.array([payload(g[cut[i] : cut[i + 1]]) for i in range(e - s)], pa.binary()), b.column(2).slice(s, e - s)], ["doc_id", "payload", "at"])
 
     kind = "array<struct<home:bigint,ba:int,bb:int,block:int>>"
-    sets = chosen.select("doc_id", "text", "at").mapInArrow(gather, f"doc_id bigint, grams binary, at {kind}")
-    rows = sets.select("doc_id", "grams", F.explode("at").alias("p")).select("p.home", "p.ba", "p.bb", "p.block", "doc_id", "grams")
+    sets = chosen.select("doc_id", "text", "at").mapInArrow(gather, f"doc_id bigint, payload binary, at {kind}")
+    return sets.select("doc_id", "payload", F.explode("at").alias("p")).select("p.home", "p.ba", "p.bb", "p.block", "doc_id", "payload")
+
+
+def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", forest: bool = False) -> DataFrame:
+    """(a, b, jaccard) for all pairs of ids a < b whose n-gram sets are ``threshold`` similar.
+
+    Words are lower-cased and split at white space; a text of fewer than n words
+    has one gram, all its words.  A text without words (null, empty, white space)
+    has no partner, nor has a row with a null id.  Of rows that
+    repeat an id each is compared by itself, and the best similarity of two ids is
+    given.  Ids must be integers.  An empty
+    table gives an empty result; other columns are ignored.
+
+    With ``forest`` only pairs that join groups not joined before are given: the
+    groups are the same, with far fewer rows.
+    """
+    heavy = heavy_tokens(docs, n, text_col)
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    first = stored(members(docs, heavy, n, threshold, id_col, text_col), "members")
+    bits = _gathered(own, first, n, _bitmap).groupBy("home", "ba", "bb").applyInArrow(_pruner(threshold), "home bigint, doc_id bigint")
+    found = stored(bits.distinct(), "members")
+    rows = _gathered(own, found, n, _six)
 
     def join(group: pa.Table) -> pa.Table:
         ba, bb = group["ba"][0].as_py(), group["bb"][0].as_py()
         order = np.argsort(group["doc_id"].to_numpy(), kind="stable")
         ids, where = group["doc_id"].to_numpy()[order], group["block"].to_numpy()[order]
-        held = group["grams"].to_pylist()
+        held = group["payload"].to_pylist()
         left = np.flatnonzero(where == ba)
         right = left if ba == bb else np.flatnonzero(where == bb)
         label = np.arange(len(ids))
         a, b, s = [], [], []
-        for i, js, sim in _answers([np.frombuffer(held[k], np.uint64) for k in order], left, right, threshold):
+        for i, js, sim in _answers([_from_six(held[k]) for k in order], left, right, threshold):
             ok = ids[js] != ids[i]
             if ba == bb:
                 ok &= js > i
