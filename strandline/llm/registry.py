@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import bpe, mixing, ngram_join, pii, quality, sharding, toxicity
+from strandline.llm import bpe, html_text, mixing, near_embeddings, ngram_join, pii, quality, sharding, toxicity, warc
 from strandline.llm.common import reach_package
 
 
@@ -27,6 +27,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_embeddings.near_pairs(table(spark, sf_dir, "embeddings"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit_on(docs, table(spark, sf_dir, "labels")))
@@ -40,13 +44,22 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_text.extract(pages, html_text.fit_on(pages))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_pairs(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_mixing, op3_pii, op5_toxicity, op6_bpe, op7_quality, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_sharding, op2_mixing, op3_pii, op4_embedding_near_dedup, op5_toxicity, op6_bpe, op7_quality, op8_warc, op9_html, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": sharding.sql(), "op2_mixing": mixing.sql()}
+    return {"op1_sharding": sharding.sql(), "op2_mixing": mixing.sql(), "op8_warc": warc.SQL}
