@@ -7,15 +7,14 @@
    neighbour is dropped when one already kept is nearer to it by the factor
    ``ALPHA``.  A vector's adjacency lists from its shards are united.
 3. Every vector is a query.  A greedy search starts from the shard's medoids and
-   widens its range: while the worst kept candidate may still lie within the
-   radius, the beam grows, and nodes within the radius are always expanded.
-   Searches run by batches of queries that share a home shard, over the graph of
-   that shard and all it links to.
+   widens its range: the beam grows with the nodes found within the radius, and
+   those are always expanded.  A query is asked in its nearest centre's shard,
+   which holds all vectors that have that centre among their nearest.
 4. Pairs found are verified by the exact cosine; recall is audited on a hash
    sample of queries against all vectors.
 
-Clusters are the unit of distribution: a task holds one shard's vectors and
-those they link to, never the table.
+Clusters are the unit of distribution: a task holds one shard's vectors and their
+links, never the table.
 """
 
 from __future__ import annotations
@@ -157,16 +156,10 @@ def near_pairs(vectors: DataFrame, threshold: float = THRESHOLD, shard_rows: int
         # links are kept both ways, so that no vector is out of reach
         return pa.table({"u": np.concatenate([src, dst]), "w": np.concatenate([dst, src])})
 
-    links = shards.groupBy("shard").applyInArrow(build, "u bigint, w bigint").filter("u <> w").distinct()
-    links = stored(links, "links")
-    # the graph that a home shard's queries walk: its members, and what they link to
-    home = shards.select("shard", F.col("vec_id").alias("u")).distinct()
-    beyond = home.join(links, "u").select("shard", F.col("w").alias("u")).distinct()
-    nodes = home.unionByName(beyond).distinct()
-    edges = nodes.join(links, "u").groupBy("shard", "u").agg(F.collect_list("w").alias("ws"))
-    vec = v.select(F.col("vec_id").alias("u"), "v")
-    queries = shards.filter("nth = 0").select("shard", F.col("vec_id").alias("u"), F.lit(True).alias("query")).distinct()
-    graph = nodes.join(vec, "u").join(edges, ["shard", "u"], "left").join(queries, ["shard", "u"], "left")
+    links = shards.groupBy("shard").applyInArrow(build, "u bigint, w bigint").filter("u <> w")
+    united = stored(links.groupBy("u").agg(F.collect_set("w").alias("ws")), "links")
+    # a shard's queries walk its members, by links that any shard found between them
+    graph = shards.select("shard", F.col("vec_id").alias("u"), "v", (F.col("nth") == 0).alias("query")).join(united, "u", "left")
 
     def search(group: pa.Table) -> pa.Table:
         order = np.argsort(group["u"].to_numpy(), kind="stable")
