@@ -1,8 +1,7 @@
 """Byte-level BPE encoding and decoding inside the JVM.
 
-A vocabulary's ranks become a literal map: ranks by hash slot (two candidates for
-each byte string) and byte strings by rank, so that a rank is found and confirmed
-without scanning the map.  A word is split
+A vocabulary's ranks become a literal map, cut into buckets by hash, so that a
+rank is found without scanning all keys.  A word is split
 into its bytes, and a fold merges the adjacent pair of lowest rank (the leftmost
 of equals) until no pair has a rank; only the two ranks beside a merge are looked
 up anew.  Decoding concatenates the byte strings of the ids.
@@ -29,7 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 #: Where the vocabulary lies; a parameter of every function here.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-MAX_WORDS, WORD_BUCKETS = 1 << 20, 1 << 20
+MAX_WORDS, WORD_BUCKETS, RANK_BUCKETS = 1 << 19, 1 << 17, 1 << 15
 #: (?U): white space as Unicode has it.
 PATTERN = r"(?U)'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _NONE = 2147483647
@@ -42,31 +41,21 @@ def read_ranks(path: str = VOCABULARY) -> dict[bytes, int]:
 
 
 @lru_cache(maxsize=4)
-def _slots_json(path: str) -> tuple[str, str]:
-    """Ranks by hash slot, each in one of two slots of its own, and byte strings by rank."""
-    ranks = read_ranks(path)
-    size = 1 << (3 * len(ranks)).bit_length() - 1
-    places = {p: ((h := xxhash.xxh64_intdigest(p, seed=42)) % size, (h >> 32) % size) for p in ranks}
-    slots: dict[int, bytes] = {}
-    for piece in ranks:
-        at, moved = places[piece][0], 0
-        while piece is not None:
-            piece, slots[at] = slots.get(at), piece
-            if piece is not None:
-                at = sum(places[piece]) - at
-                moved += 1
-                if moved > 10_000:
-                    raise ValueError("the rank map's slots don't suffice")
-    pieces: list = [None] * (max(ranks.values()) + 1)
-    for piece, rank in ranks.items():
-        pieces[rank] = base64.b64encode(piece).decode()
-    return json.dumps([ranks[slots[i]] if i in slots else -1 for i in range(size)]), json.dumps(pieces)
+def _rank_json(path: str) -> str:
+    buckets: list[dict[str, int] | None] = [None] * RANK_BUCKETS
+    for piece, rank in read_ranks(path).items():
+        key = piece.decode("latin-1")
+        at = xxhash.xxh64_intdigest(key.encode(), seed=42) % RANK_BUCKETS
+        buckets[at] = {**(buckets[at] or {}), key: rank}
+    return json.dumps(buckets)
 
 
 def rank_literal(path: str = VOCABULARY) -> Column:
-    """The rank map as foldable expressions, so that plans hold it as literals."""
-    slots, pieces = _slots_json(path)
-    return F.struct(F.from_json(F.lit(slots), "array<int>").alias("s"), F.from_json(F.lit(pieces), "array<binary>").alias("p"))
+    """The rank map as a foldable expression, so that plans hold it as a literal.
+
+    It is cut into buckets by hash, because a map's keys are searched in order.
+    """
+    return F.from_json(F.lit(_rank_json(path)), "array<map<string,int>>")
 
 
 def _let(value: Column, body) -> Column:
@@ -74,15 +63,18 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _bytes(word: Column) -> Column:
+    """The bytes of a string as one character each."""
+    return F.decode(word.cast("binary"), "ISO-8859-1")
+
+
 def _rank(table: Column, piece: Column) -> Column:
-    slots, pieces, h = table["s"], table["p"], F.xxhash64(piece)
-    first = F.get(slots, h.bitwiseAND(F.size(slots) - 1).cast("int"))
-    second = F.get(slots, F.shiftright(h, 32).bitwiseAND(F.size(slots) - 1).cast("int"))
-    return F.when(F.get(pieces, first) == piece, first).when(F.get(pieces, second) == piece, second).otherwise(F.lit(_NONE))
+    bucket = F.get(table, F.xxhash64(piece).bitwiseAND(F.lit(RANK_BUCKETS - 1)).cast("int"))
+    return F.coalesce(F.element_at(bucket, piece), F.lit(_NONE))
 
 
 def fold_word(table: Column, word: Column) -> Column:
-    """Ids of one word (binary) under the rank map ``table``.
+    """Ids of one word (a character for each byte) under the rank map ``table``.
 
     The state is the pieces' boundaries in the word, the ranks of adjacent
     pairs, and which pair is next (0: none); a merge takes out one boundary.
@@ -126,18 +118,17 @@ def frequent_words(docs: DataFrame, path: str = VOCABULARY, max_words: int = MAX
     words = docs.select(F.explode(F.split(F.col(text_col), " ", -1)).alias("w")).groupBy("w").agg(F.count("*").alias("c"))
     top = words.filter("c > 1").orderBy(F.desc("c"), "w").limit(max_words).select(F.col("w").alias("word"))
     top = top.repartition(max(1, docs.sparkSession.sparkContext.defaultParallelism * 2), "word")
-    ids = _let(rank_literal(path), lambda t: F.flatten(F.transform(_pieces(F.concat(F.lit(" "), F.col("word"))), lambda p: fold_word(t, p.cast("binary")))))
+    ids = _let(rank_literal(path), lambda t: F.flatten(F.transform(_pieces(F.concat(F.lit(" "), F.col("word"))), lambda p: _let(_bytes(p), lambda w: fold_word(t, w)))))
     return top.select("word", ids.alias("ids"))
 
 
 def _word_table(words: DataFrame) -> Column:
-    """The words' ids as one value: buckets of words and of ids."""
+    """The words' ids as one value: maps by hash bucket."""
     spark = words.sparkSession
     at = F.xxhash64("word").bitwiseAND(F.lit(WORD_BUCKETS - 1)).cast("int")
     filled = words.groupBy(at.alias("b")).agg(F.collect_list(F.struct("word", "ids")).alias("e"))
-    buckets = spark.range(WORD_BUCKETS).select(F.col("id").cast("int").alias("i")).join(filled, F.col("i") == F.col("b"), "left")
-    buckets = buckets.select("i", F.struct(F.col("e.word").alias("w"), F.col("e.ids").alias("ids")).alias("e"))
-    return buckets.agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "e"))), lambda x: x["e"]).alias("t")).scalar()
+    buckets = spark.range(WORD_BUCKETS).select(F.col("id").cast("int").alias("i")).join(filled, F.col("i") == F.col("b"), "left").select("i", "e")
+    return buckets.agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "e"))), lambda x: F.map_from_entries(x["e"])).alias("t")).scalar()
 
 
 def encode(docs: DataFrame, path: str = VOCABULARY, max_words: int = MAX_WORDS, text_col: str = "text", tokens_col: str = "tokens") -> DataFrame:
@@ -153,12 +144,11 @@ def encode(docs: DataFrame, path: str = VOCABULARY, max_words: int = MAX_WORDS,
 
     def encoded(t: Column, words: Column) -> Column:
         def known(w: Column) -> Column:
-            bucket = F.get(words, F.xxhash64(w).bitwiseAND(F.lit(WORD_BUCKETS - 1)).cast("int"))
-            return F.get(bucket["ids"], (F.array_position(bucket["w"], w) - 1).cast("int"))
+            return F.element_at(F.get(words, F.xxhash64(w).bitwiseAND(F.lit(WORD_BUCKETS - 1)).cast("int")), w)
 
         def pieces(s: Column) -> Column:
             again = lambda p: F.when(F.startswith(p, F.lit(" ")), known(F.substring(p, F.lit(2), F.length(p))))
-            return F.flatten(F.transform(_pieces(s), lambda p: F.coalesce(again(p), fold_word(t, p.cast("binary")))))
+            return F.flatten(F.transform(_pieces(s), lambda p: F.coalesce(again(p), _let(_bytes(p), lambda w: fold_word(t, w)))))
 
         def by_space(parts: Column) -> Column:
             rest = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda w: F.coalesce(known(w), pieces(F.concat(F.lit(" "), w))))
