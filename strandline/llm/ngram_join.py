@@ -10,7 +10,8 @@ is indexed by its prefix: two sets of Jaccard similarity t share a token there.
    list is cut into blocks of neighbouring positions; a pair of blocks whose
    positions and sizes leave too little overlap is skipped as a whole.  Sets that
    have a pair left become members of the list's home, its lowest set.  Bitmaps of
-   the members' sets bound each pair's overlap and take out members without any.
+   the members' sets bound each pair's overlap; a pair belongs to the lowest home
+   that both are members of, and members without a pair of their home's go.
 3. The full sets of a home's members come together.  A set's answers are its
    overlaps with all others there, from full index lists; the next set is the
    most similar one not yet answered, and its overlaps are those of the last set
@@ -42,7 +43,7 @@ BLOCK = 3000
 #: Entries of an index list that one block has.
 LIST_BLOCK = 256
 #: Rows of (home, member) up to which they are broadcast to the texts.
-BROADCAST_MEMBERS = 300_000
+BROADCAST_MEMBERS = 1_000_000
 
 
 def _sets(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -365,6 +366,11 @@ def _pruner(t: float):
         size = np.array([int(np.frombuffer(h, np.int64, 1)[0]) for h in held])
         count = np.array([(len(h) - 8) // 8 for h in held])
         keep = np.zeros(len(ids), bool)
+        lists = group["homes"].to_pylist()
+        lower = {g: k for k, g in enumerate(sorted({g for x in lists for g in x if g < home}))}
+        shared = np.zeros((len(ids), max(1, len(lower))), np.float32)
+        for k, x in enumerate(lists):
+            shared[k, [lower[g] for g in x if g < home]] = 1
         for c in np.unique(count):
             small = np.flatnonzero(count == c)
             x = np.stack([np.frombuffer(held[k], np.uint64, offset=8) for k in small])
@@ -384,6 +390,7 @@ def _pruner(t: float):
                     ok = (bound >= _need(a, b, t)) & (np.minimum(a, b) >= t * np.maximum(a, b) - 1e-9) & (ids[i][:, None] != ids[large][None, :])
                     if ba != bb:
                         ok &= where[i][:, None] != where[large][None, :]
+                    ok &= shared[i] @ shared[large].T == 0  # a lower home has both
                     keep[i] |= ok.any(1)
                     keep[large] |= ok.any(0)
         left = np.unique(ids[keep])
@@ -393,7 +400,7 @@ def _pruner(t: float):
 
 
 def _gathered(own: DataFrame, found: DataFrame, n: int, payload) -> DataFrame:
-    """(home, ba, bb, block, doc_id, payload): members with what a task needs of their sets.
+    """(home, ba, bb, block, doc_id, payload): members with what a task needs of their sets; with bitmaps, also their homes.
 
     Member k of a home lies in one of its blocks; a task has two blocks, or one
     with itself.
@@ -418,7 +425,8 @@ def _gathered(own: DataFrame, found: DataFrame, n: int, payload) -> DataFrame:
 
     kind = "array<struct<home:bigint,ba:int,bb:int,block:int>>"
     sets = chosen.select("doc_id", "text", "at").mapInArrow(gather, f"doc_id bigint, payload binary, at {kind}")
-    return sets.select("doc_id", "payload", F.explode("at").alias("p")).select("p.home", "p.ba", "p.bb", "p.block", "doc_id", "payload")
+    homes = [F.array_distinct("at.home").alias("homes")] if payload is _bitmap else []
+    return sets.select("doc_id", "payload", *homes, F.explode("at").alias("p")).select("p.home", "p.ba", "p.bb", "p.block", "doc_id", "payload", *(["homes"] if homes else []))
 
 
 def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", forest: bool = False) -> DataFrame:
