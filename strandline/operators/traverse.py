@@ -24,7 +24,7 @@ def layers(edges: DataFrame, seeds: DataFrame, direction: str = "out", max_depth
 
     ``seeds`` has root and id.  Nodes of ``stop`` are reached but not left.
     """
-    step = arcs(edges, direction)
+    step = cut(arcs(edges, direction))
     visited = cut(seeds.select("root", "id").distinct().withColumn("depth", F.lit(0)))
     frontier, depth = visited, 0
     while max_depth < 0 or depth < max_depth:
