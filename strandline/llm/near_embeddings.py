@@ -1,17 +1,19 @@
 """Near-duplicate embeddings by a robust-pruned flat graph.
 
 1. Directions (vectors of length 1) are clustered; each vector goes to its
-   ``OVERLAP`` nearest centres, so that shards overlap where clusters meet.  The
-   number of centres follows the table's size, which bounds a shard's rows.
+   ``overlap`` nearest centres, so that shards overlap where clusters meet.  The
+   number of centres follows the table's size, which bounds a shard's rows; the
+   overlap grows with it, since more centres part more pairs.
 2. A shard's task finds each member's nearest others and prunes them robustly: a
    neighbour is dropped when one already kept is nearer to it by the factor
-   ``ALPHA``.  A vector's adjacency lists from its shards are united.
-3. Every vector is a query.  A greedy search starts from the shard's medoids and
-   widens its range: the beam grows with the nodes found within the radius, and
-   those are always expanded.  A query is asked in its nearest centre's shard,
-   which holds all vectors that have that centre among their nearest.
+   ``ALPHA``.  Links stay in the task.
+3. Every vector is a query in all of its shards, so a pair is lost only if its
+   vectors share none.  A greedy search starts from the query and the shard's
+   medoids and widens its range: the beam grows with the nodes found within the
+   radius, and those are always expanded.
 4. Pairs found are verified by the exact cosine; recall is audited on a hash
-   sample of queries against all vectors.
+   sample of queries against all vectors.  Below ``RECALL``, the overlap is doubled
+   and the search repeated.
 
 Clusters are the unit of distribution: a task holds one shard's vectors and their
 links, never the table.
@@ -19,6 +21,9 @@ links, never the table.
 
 from __future__ import annotations
 
+import math
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -28,6 +33,8 @@ from strandline.llm.common import stored
 #: Cosine from which two vectors are near duplicates.
 THRESHOLD = 0.9
 SHARD_ROWS, OVERLAP, DEGREE, ALPHA, BEAM, SEED = 2000, 3, 24, 1.2, 32, 5
+#: Recall that the audit asks for, and how often the overlap is doubled for it.
+RECALL, WIDENINGS = 0.995, 3
 #: Vectors that the centres are fitted on, at most.
 FIT_ROWS = 100_000
 
@@ -59,14 +66,16 @@ def centres(x: np.ndarray, k: int, seed: int = SEED, rounds: int = 8) -> np.ndar
 def robust_prune(ids: np.ndarray, x: np.ndarray, me: int, order: np.ndarray, alpha: float, degree: int) -> list[int]:
     """Kept neighbours of ``me`` among ``order`` (nearest first)."""
     kept: list[int] = []
-    left = order
-    while len(left) and len(kept) < degree:
-        p = int(left[0])
-        kept.append(p)
-        left = left[1:]
-        # squared distances of unit vectors: 2 - 2 cos
-        near = alpha * (2 - 2 * (x[left] @ x[p])) > (2 - 2 * (x[left] @ x[me]))
-        left = left[near]
+    # squared distances of unit vectors: 2 - 2 cos
+    near = x[order]
+    between, mine = alpha * (2 - 2 * (near @ near.T)), 2 - 2 * (near @ x[me])
+    left = np.ones(len(order), bool)
+    for p in range(len(order)):
+        if left[p]:
+            kept.append(int(order[p]))
+            if len(kept) == degree:
+                break
+            left &= between[p] > mine
     return kept
 
 
@@ -115,9 +124,25 @@ def _clean(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return v.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~bad & F.exists("v", lambda e: e != 0))
 
 
-def near_pairs(vectors: DataFrame, threshold: float = THRESHOLD, shard_rows: int = SHARD_ROWS, overlap: int = OVERLAP, degree: int = DEGREE, beam: int = BEAM, seed: int = SEED, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def overlap_for(n: int, shard_rows: int = SHARD_ROWS) -> int:
+    """Shards a vector goes to: ``OVERLAP`` where one shard holds the table, one more at each doubling."""
+    return OVERLAP + max(0, math.ceil(math.log2(n / shard_rows)))
+
+
+def links_both_ways(adj: list[np.ndarray]) -> list[np.ndarray]:
+    """Adjacency with each link's reverse, so that no vector is out of reach."""
+    src, dst = np.repeat(np.arange(len(adj)), [len(a) for a in adj]), np.concatenate(adj)
+    both = np.unique(np.stack([np.concatenate([src, dst]), np.concatenate([dst, src])], 1), axis=0)
+    return np.split(both[:, 1], np.searchsorted(both[:, 0], np.arange(1, len(adj))))
+
+
+def near_pairs(vectors: DataFrame, threshold: float = THRESHOLD, shard_rows: int = SHARD_ROWS, overlap: int | None = None, degree: int = DEGREE, beam: int = BEAM, seed: int = SEED, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(a, b, cosine) of pairs a < b with a cosine of ``threshold`` or more that the search finds.
 
+    ``overlap`` follows the number of rows if none is given; either way it is
+    doubled while the audit finds less than ``RECALL``, and a warning says so if
+    it still does at the end.
+
     A null id or vector, a vector of zeros, and one with a null or NaN have no
     partner.  Vectors must have one length.  Rows that repeat an id are compared
     one by one, but an id is no partner of itself; equal vectors of two ids are
@@ -128,11 +153,24 @@ def near_pairs(vectors: DataFrame, threshold: float = THRESHOLD, shard_rows: int
     n = v.count()
     if n == 0:
         return spark.createDataFrame([], "a bigint, b bigint, cosine double")
+    overlap = overlap or overlap_for(n, shard_rows)
+    for widening in range(WIDENINGS + 1):
+        pairs = stored(_search(v, n, threshold, shard_rows, overlap, degree, beam, seed), "pairs")
+        seen = audit(vectors, pairs, threshold, seed=seed, id_col=id_col, vec_col=vec_col).first()
+        if seen.recall >= RECALL:
+            break
+        if widening == WIDENINGS:
+            warnings.warn(f"near_pairs: audit found {seen.found} of {seen.expected} pairs with an overlap of {overlap}", stacklevel=2)
+        overlap *= 2
+    return pairs
+
+
+def _search(v: DataFrame, n: int, threshold: float, shard_rows: int, overlap: int, degree: int, beam: int, seed: int) -> DataFrame:
     k = max(1, -(-n * overlap // shard_rows))
     fraction = min(1.0, FIT_ROWS / n)
     sample = v.filter(F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1_000_000)) < int(fraction * 1_000_000)) if fraction < 1 else v
     fit_x = sample.orderBy("vec_id").select("v").toArrow()
-    c = spark.sparkContext.broadcast(centres(unit(matrix(fit_x["v"])), k, seed))
+    c = v.sparkSession.sparkContext.broadcast(centres(unit(matrix(fit_x["v"])), k, seed))
 
     def assign(batches):
         for b in batches:
@@ -141,54 +179,29 @@ def near_pairs(vectors: DataFrame, threshold: float = THRESHOLD, shard_rows: int
             sim = x @ c.value.T
             top = np.argsort(-sim, axis=1, kind="stable")[:, :some]
             rows = np.repeat(np.arange(len(x)), some)
-            yield pa.RecordBatch.from_arrays([pa.array(top.ravel().astype(np.int32)), pa.array(np.tile(np.arange(some, dtype=np.int32), len(x))), b.column(0).take(pa.array(rows)), b.column(1).take(pa.array(rows))], ["shard", "nth", "vec_id", "v"])
-
-    shards = stored(v.mapInArrow(assign, "shard int, nth int, vec_id bigint, v array<float>"), "shards")
+            yield pa.RecordBatch.from_arrays([pa.array(top.ravel().astype(np.int32)), b.column(0).take(pa.array(rows)), b.column(1).take(pa.array(rows))], ["shard", "vec_id", "v"])
 
-    def build(group: pa.Table) -> pa.Table:
+    def search(group: pa.Table) -> pa.Table:
         ids, x = group["vec_id"].to_numpy(), unit(matrix(group["v"]))
         order = np.lexsort((*x.T[:1], ids))
         ids, x = ids[order], x[order]
-        adj = build_shard(ids, x, degree)
-        size = [len(a) for a in adj]
-        src = np.repeat(ids, size)
-        dst = ids[np.concatenate(adj)] if adj else np.zeros(0, np.int64)
-        # links are kept both ways, so that no vector is out of reach
-        return pa.table({"u": np.concatenate([src, dst]), "w": np.concatenate([dst, src])})
-
-    links = shards.groupBy("shard").applyInArrow(build, "u bigint, w bigint").filter("u <> w")
-    united = stored(links.groupBy("u").agg(F.collect_set("w").alias("ws")), "links")
-    # a shard's queries walk its members, by links that any shard found between them
-    graph = shards.select("shard", F.col("vec_id").alias("u"), "v", (F.col("nth") == 0).alias("query")).join(united, "u", "left")
-
-    def search(group: pa.Table) -> pa.Table:
-        order = np.argsort(group["u"].to_numpy(), kind="stable")
-        g = group.take(pa.array(order))
-        ids, x = g["u"].to_numpy(), unit(matrix(g["v"]))
-        distinct, first = np.unique(ids, return_index=True)
-        adj = []
-        for i, ws in zip(ids.tolist(), g["ws"].to_pylist()):
-            w = np.array(ws or [], np.int64)
-            at = np.minimum(np.searchsorted(distinct, w), len(distinct) - 1)
-            same = np.arange(*np.searchsorted(ids, [i, i + 1]))
-            adj.append(np.concatenate([first[at[distinct[at] == w]], same]))
-        asked = np.flatnonzero(np.array([bool(q) for q in g["query"].to_pylist()]))
+        adj = links_both_ways(build_shard(ids, x, degree))
         # medoids: of the whole graph, and of its coarse parts
         parts = centres(x, max(1, int(np.sqrt(len(x)) / 4)), seed, 3)
         starts = np.unique(np.concatenate([[int((x @ unit(x.mean(0, keepdims=True))[0]).argmax())], (x @ parts.T).argmax(0)]))
         a, b, s = [], [], []
-        for q in asked.tolist():
-            hit = range_search(x, adj, starts, x[q], threshold - 1e-6, beam)
+        for q in range(len(x)):
+            hit = range_search(x, adj, np.union1d(starts, [q]), x[q], threshold - 1e-6, beam)
             hit = hit[ids[hit] != ids[q]]
             cos = x[hit].astype(float) @ x[q].astype(float)
             hit, cos = hit[cos >= threshold], cos[cos >= threshold]
             a.append(np.minimum(ids[hit], ids[q]))
             b.append(np.maximum(ids[hit], ids[q]))
             s.append(cos)
-        none = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b]), "cosine": np.concatenate([np.zeros(0), *s])})
+        found = pa.table({"a": np.concatenate(a), "b": np.concatenate(b), "cosine": np.concatenate(s)})
+        return found.group_by(["a", "b"]).aggregate([("cosine", "max")]).select(["a", "b", "cosine_max"]).rename_columns(["a", "b", "cosine"])
 
-    found = graph.groupBy("shard").applyInArrow(search, "a bigint, b bigint, cosine double")
+    found = v.mapInArrow(assign, "shard int, vec_id bigint, v array<float>").groupBy("shard").applyInArrow(search, "a bigint, b bigint, cosine double")
     return found.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
 
 

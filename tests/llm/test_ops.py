@@ -112,6 +112,16 @@ def test_embeddings(spark):
     assert near_embeddings.audit(d, near_embeddings.near_pairs(d, 0.9, shard_rows=150), 0.9, 100).first().recall >= 0.9
 
 
+def test_embeddings_across_shards(spark):
+    """Isotropic pairs near the threshold lie across the borders of many small shards."""
+    rng = np.random.default_rng(2)
+    x, o = (near_embeddings.unit(rng.normal(size=(1000, 64)).astype(np.float32)) for _ in "xo")
+    o = near_embeddings.unit(o - (o * x).sum(1, keepdims=True) * x)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.concatenate([x, 0.805 * x + np.sqrt(1 - 0.805**2) * o]))], "vec_id bigint, embedding array<float>")
+    got = {(r.a, r.b) for r in near_embeddings.near_pairs(d, 0.8, shard_rows=60).collect()}
+    assert len(got & {(i, i + 1000) for i in range(1000)}) >= 990
+
+
 def test_toxicity(spark):
     rng = random.Random(3)
     bad = ["zzkill", "zzhate", "zzworthless", "zzstupid"]
