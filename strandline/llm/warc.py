@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from strandline.llm.common import shared_dir, stored
 
 RANGE_BYTES = 8 << 20
-#: A header longer than this is taken for damaged.
+#: What a task reads beyond its range at first; a longer header is read on to its end.
 HEADER_BYTES = 64 << 10
 _MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 _LENGTH = re.compile(rb"\r\nContent-Length:[ \t]*(\d+)[ \t]*\r\n", re.I)
@@ -80,13 +80,36 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     return stored(own.mapInArrow(write, "path string, size bigint"), "warc-files").withColumn("folder", F.lit(folder))
 
 
-def _header(data: bytes, at: int) -> tuple[int, int] | None:
-    """(offset of the block, its length) of a record whose magic is at ``at``, if its header is whole."""
-    end = data.find(b"\r\n\r\n", at, at + HEADER_BYTES)
-    if end < 0:
-        return None
-    m = _LENGTH.search(data, at, end + 4)
-    return (end + 4, int(m[1])) if m else None
+class _Window:
+    """A file's bytes from ``base`` on, read further where a header or block goes on."""
+
+    def __init__(self, f: pa.NativeFile, base: int, size: int) -> None:
+        f.seek(base)
+        self.f, self.base, self.data = f, base, f.read(size)
+        self.last: tuple[int, int, re.Match | None] | None = None
+
+    def reach(self, end: int) -> None:
+        if end > len(self.data):
+            self.f.seek(self.base + len(self.data))
+            self.data += self.f.read(end - len(self.data))
+
+    def header(self, at: int) -> tuple[int, int] | None:
+        """(offset of the block, its length) of a record whose magic is at ``at``; None without a header's end or a length."""
+        # magic inside an earlier one's header ends where that does, and isn't searched again
+        if self.last and self.last[0] <= at <= self.last[1]:
+            _, end, m = self.last
+        else:
+            seek, end, m = at, -1, None
+            while (end := self.data.find(b"\r\n\r\n", seek)) < 0:
+                seek, had = max(at, len(self.data) - 3), len(self.data)
+                self.reach(had + max(HEADER_BYTES, had - at))
+                if len(self.data) == had:
+                    return None
+            m = _LENGTH.search(self.data, at, end + 4)
+        if m and m.start() < at:
+            m = _LENGTH.search(self.data, at, end + 4)
+        self.last = (at, end, m)
+        return (end + 4, int(m[1])) if m else None
 
 
 def _ranges(files: DataFrame, range_bytes: int) -> DataFrame:
@@ -112,13 +135,12 @@ def candidates(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
                 source, _ = pafs.FileSystem.from_uri(row["folder"])
                 start, end = row["start"], row["end"]
                 with source.open_input_file(row["path"]) as f:
-                    f.seek(start)
-                    data = f.read(end - start + HEADER_BYTES)
-                at, follows = [], []
-                for m in _MAGIC.finditer(data, 0, min(len(data), end - start + 9)):
-                    if m.start() < end - start and (h := _header(data, m.start())):
-                        at.append(start + m.start())
-                        follows.append(start + h[0] + h[1] + 4)
+                    w = _Window(f, start, end - start + HEADER_BYTES)
+                    at, follows = [], []
+                    for m in _MAGIC.finditer(w.data, 0, min(len(w.data), end - start + 9)):
+                        if m.start() < end - start and (h := w.header(m.start())):
+                            at.append(start + m.start())
+                            follows.append(start + h[0] + h[1] + 4)
                 if not at:
                     continue
                 at, follows = np.array(at, np.int64), np.array(follows, np.int64)
@@ -179,14 +201,13 @@ def read_warc(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
             for row in b.to_pylist():
                 source, _ = pafs.FileSystem.from_uri(row["folder"])
                 with source.open_input_file(row["path"]) as f:
-                    f.seek(row["entry"])
-                    base, data = row["entry"], f.read(row["end"] - row["entry"] + HEADER_BYTES)
+                    base = row["entry"]
+                    w = _Window(f, base, row["end"] - base + HEADER_BYTES)
                     at, out, held = base, [], 0
-                    while at < row["end"] and _MAGIC.match(data, at - base) and (h := _header(data, at - base)):
+                    while at < row["end"] and _MAGIC.match(w.data, at - base) and (h := w.header(at - base)):
                         block, length = h
-                        if block + length > len(data):
-                            f.seek(base + len(data))
-                            data += f.read(block + length - len(data))
+                        w.reach(block + length)
+                        data = w.data
                         fields = dict((k.strip().lower(), v.strip()) for k, _, v in (x.partition(":") for x in data[at - base : block].decode("utf-8", "replace").split("\r\n")[1:]))
                         kind, page = fields.get("warc-type"), re.fullmatch(r"<urn:page:(-?\d+)>", fields.get("warc-record-id", ""))
                         html = None

@@ -192,6 +192,14 @@ def test_warc(spark, tmp_path, range_bytes):
     assert warc.read_warc(files.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("range_bytes", [5000, 1 << 20])
+def test_warc_long_headers(spark, tmp_path, range_bytes):
+    rows = [(0, "http://a", "x"), (1, "http://u/" + "a" * 100_000, "y"), (2, "%" * 100_000, "z" * 70_000), (3, "http://b", "WARC/1.0\r\n" * 9000), (4, "http://c", None)]
+    files = warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), f"file://{tmp_path}/w")
+    got = warc.read_warc(files, range_bytes).filter("type = 'response'").select("page_id", "url", "html").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(rows, key=repr)
+
+
 def test_html(spark):
     rng = random.Random(8)
 
