@@ -78,8 +78,8 @@ register("shortest_path_length", graph_of(lambda g: traverse.shortest_path(g, "g
 register("components", graph_of(lambda g: traverse.components(g).groupBy("component").agg(F.count("*").alias("n"))), "SELECT min(id) AS component, count(*) AS n FROM (SELECT id FROM reach UNION ALL SELECT id FROM nodes WHERE id NOT IN (SELECT id FROM reach)) GROUP BY CASE WHEN id IN (SELECT id FROM reach) THEN '' ELSE id END", "both_ways AS (SELECT DISTINCT source AS a, target AS b FROM edges UNION SELECT DISTINCT target, source FROM edges), reach AS (SELECT min(a) AS id FROM both_ways UNION SELECT b FROM reach JOIN both_ways ON a = reach.id)")
 register("trace_error", graph_of(lambda g: traverse.trace_error(g, CUSTOMER)), "SELECT id, CAST(min(d) AS INTEGER) AS depth, target AS equation FROM (SELECT id, min(d) AS d FROM walk GROUP BY id) LEFT JOIN (SELECT DISTINCT source, target FROM edges WHERE type = 'implements') ON source = id GROUP BY id, target", walk_sql(f"id = '{CUSTOMER}'", "type = 'calls'", False, 10))
 register("processes", graph_of(lambda g: traverse.processes(g)))
-register("communities", graph_of(lambda g: traverse.communities(g, 5).groupBy("community").agg(F.count("*").alias("n"))))
-register("bridges", graph_of(lambda g: traverse.bridges(g, 3)))
+register("communities", graph_of(lambda g: traverse.communities(g).groupBy("community").agg(F.count("*").alias("n"))))
+register("bridges", graph_of(lambda g: traverse.bridges(g)))
 
 # structure
 register("discriminations", graph_of(lambda g: structure.discriminations(g, limit=0)), "SELECT 'item:tag:' || p_type AS tag, count(DISTINCT p_partkey) AS sites, array_to_string(list_sort(list_distinct(list(l_returnflag))), ',') AS cases FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY p_type HAVING count(DISTINCT p_partkey) >= 2")

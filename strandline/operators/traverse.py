@@ -125,24 +125,33 @@ def processes(g: PropertyGraph, min_length: int = 3, most: int = 21) -> DataFram
     return done.unionByName(walks).select("root", F.size("path").alias("length"), F.array_join("path", " > ").alias("path")).filter(F.col("length") >= min_length)
 
 
-def communities(g: PropertyGraph, rounds: int = 10) -> DataFrame:
-    """(id, community) by label propagation on undirected, weighted pairs; ties go to the least label."""
+def communities(g: PropertyGraph) -> DataFrame:
+    """(id, community) by label propagation on undirected, weighted pairs; ties go to the greatest label.
+
+    It runs until no label moves, or until each is what it was two rounds before:
+    weights are the same both ways, so labels can't alternate in a longer cycle.
+    """
     both = cut(g.edges.filter("source <> target").select(F.col("source").alias("frm"), F.col("target").alias("to")).unionByName(g.edges.filter("source <> target").select(F.col("target").alias("frm"), F.col("source").alias("to"))).groupBy("frm", "to").agg(F.count("*").alias("w")))
-    label = cut(g.nodes.select("id", F.col("id").alias("community")))
-    for _ in range(rounds):
+    label = cut(g.nodes.select("id", F.col("id").alias("community"), F.lit(None).cast("string").alias("before")))
+    while True:
         votes = both.join(label.select(F.col("id").alias("to"), "community"), "to").groupBy("frm", "community").agg(F.sum("w").alias("w"))
         won = votes.groupBy(F.col("frm").alias("id")).agg(F.max_by("community", F.struct("w", "community")).alias("won"))
-        new = cut(label.join(won, "id", "left").select("id", F.coalesce("won", "community").alias("community"), (F.coalesce("won", "community") != F.col("community")).alias("moved")))
-        label = new.select("id", "community")
-        if new.filter("moved").isEmpty():
-            break
-    return label
+        new = F.coalesce("won", "community")
+        moved = cut(label.join(won, "id", "left").select("id", new.alias("community"), F.col("community").alias("before"), (new != F.col("community")).alias("moved"), (~new.eqNullSafe(F.col("before"))).alias("fresh")))
+        label = moved.select("id", "community", "before")
+        if moved.filter("moved").isEmpty() or moved.filter("fresh").isEmpty():
+            return label.select("id", "community")
+
 
+def bridges(g: PropertyGraph, pivots: int = 100, top_n: int = 10, least: float = 0.001) -> DataFrame:
+    """(id, score): betweenness from hash-chosen pivots, by path counts and dependencies of BFS layers.
 
-def bridges(g: PropertyGraph, pivots: int = 8, top_n: int = 10) -> DataFrame:
-    """(id, score): betweenness from hash-chosen pivots, by path counts and dependencies of BFS layers."""
+    Of nodes that score ``least`` or more and lie, with their neighbours, in two
+    or more communities.  A graph of ``pivots`` nodes or fewer is scored exactly.
+    """
     step = cut(arcs(g.edges, "both"))
     n = g.nodes.count()
+    pivots = min(pivots, n)
     roots = g.nodes.orderBy(F.xxhash64("id"), "id").limit(pivots).select(F.col("id").alias("root"), "id")
     seen = cut(layers(g.edges, roots, "both", -1))
     deepest = seen.agg(F.max("depth")).first()[0] or 0
@@ -158,8 +167,11 @@ def bridges(g: PropertyGraph, pivots: int = 8, top_n: int = 10) -> DataFrame:
         rest = seen.filter(F.col("depth") == d).select("root", "id").join(up, ["root", "id"], "left").select("root", "id", F.coalesce("delta", F.lit(0.0)).alias("delta"))
         delta = cut(delta.unionByName(rest))
     scale = F.lit(float(max(1, (n - 1) * (n - 2))) * max(1, pivots) / max(1, n))
-    scored = delta.filter("root <> id").groupBy("id").agg(F.round(F.sum("delta") / scale, 6).alias("score"))
-    return scored.orderBy(F.desc("score"), "id").limit(top_n)
+    scored = delta.filter("root <> id").groupBy("id").agg((F.sum("delta") / scale).alias("raw")).filter(F.col("raw") >= least)
+    group = communities(g)
+    around = step.select(F.col("frm").alias("id"), "to").unionByName(g.nodes.select("id", F.col("id").alias("to"))).join(group.select(F.col("id").alias("to"), "community"), "to")
+    between = around.groupBy("id").agg(F.count_distinct("community").alias("touched")).filter("touched >= 2")
+    return scored.join(between, "id", "left_semi").select("id", F.round("raw", 6).alias("score")).orderBy(F.desc("score"), "id").limit(top_n)
 
 
 def members(g: PropertyGraph) -> DataFrame:

@@ -45,6 +45,33 @@ def test_betweenness(spark):
     assert top[0].id == n[2] and top[0].score == max(r.score for r in top)
 
 
+def spread(near):
+    """Labels of propagation run to its end."""
+    before, label = None, sorted(near)
+    while True:
+        at = dict(zip(sorted(near), label))
+        new = [max((sum(at[j] == c for j in near[i]), c) for c in (at[j] for j in near[i]))[1] for i in sorted(near)]
+        before, label, old = label, new, before
+        if new in (before, old):
+            return dict(zip(sorted(near), new))
+
+
+def test_communities_run_to_the_end(spark):
+    n = [f"a:x:{i:02}" for i in range(14)]
+    near = {n[i]: n[max(0, i - 1) : i] + n[i + 1 : i + 2] for i in range(14)}
+    g = graph(spark, n, [(a, b, "calls") for a, b in zip(n, n[1:])])
+    assert {r.id: r.community for r in traverse.communities(g).collect()} == spread(near)
+
+
+def test_bridges_of_all_pivots(spark):
+    n = [f"a:x:{i}" for i in range(10)]
+    edges = [(n[0], n[i]) for i in range(1, 5)] + [(n[9], n[i]) for i in range(5, 9)] + [(n[0], n[9])]
+    near = {i: [b for a, b in edges if a == i] + [a for a, b in edges if b == i] for i in n}
+    label = spread(near)
+    got = {r.id: r.score for r in traverse.bridges(graph(spark, n, [(a, b, "calls") for a, b in edges])).collect()}
+    assert got == {i: round(52 / 72, 6) for i in (n[0], n[9]) if len({label[i], *(label[j] for j in near[i])}) > 1}
+
+
 def test_processes(spark):
     f = "py:function:"
     g = graph(spark, [f + x for x in "abcd"], [(f + "a", f + "b", "calls"), (f + "b", f + "c", "calls"), (f + "b", f + "d", "calls"), (f + "c", f + "d", "calls")])
