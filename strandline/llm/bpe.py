@@ -6,11 +6,13 @@ into its bytes, and a fold merges the adjacent pair of lowest rank (the leftmost
 of equals) until no pair has a rank; only the two ranks beside a merge are looked
 up anew.  Decoding concatenates the byte strings of the ids.
 
-Distinct words of the corpus are counted first, and the ``MAX_WORDS`` most
-frequent are folded once each; their ids travel to the tasks as one array of
-bounded size, whatever the corpus.  A word beyond it is folded where it stands,
-by the same expression, so no text is shuffled and the result doesn't depend on
-which words the table holds.
+Distinct words of the corpus are counted first.  The most frequent ones, and the
+most frequent pieces that the others are made of, are folded once each
+(``MAX_WORDS`` in all); their ids travel to the tasks as one array of bounded
+size, whatever the corpus.  A piece beyond it is folded where it stands, by the
+same expression, so no text is shuffled and the result doesn't depend on what
+the table holds.  Which ones are frequent is decided by a histogram of counts,
+not by sorting words in one task.
 
 Words end where the vocabulary's pattern splits.  Where no two white-space
 characters meet, that is also where single spaces stand, which is cheaper to
@@ -26,9 +28,13 @@ from functools import lru_cache
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from strandline.llm.common import stored
+
 #: Where the vocabulary lies; a parameter of every function here.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 MAX_WORDS, WORD_BUCKETS, RANK_BUCKETS = 1 << 19, 1 << 17, 1 << 15
+#: Share of the table that whole words have; the rest is for pieces of other words.
+WORD_SHARE = 0.75
 #: (?U): white space as Unicode has it.
 PATTERN = r"(?U)'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _NONE = 2147483647
@@ -113,19 +119,55 @@ def _pieces(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
 
 
+def _most_frequent(counted: DataFrame, most: int) -> DataFrame:
+    """The rows (w, c) of greatest count, ``most`` or a few more or less.
+
+    Counts fall into bins of a 16th of a power of 2; of the last bin a share
+    by hash is taken, so that neither a sort nor one task sees all words.
+    """
+    binned = counted.withColumn("bin", F.floor(16 * F.log2("c")).cast("int"))
+    sizes = {r["bin"]: r["count"] for r in binned.groupBy("bin").count().collect()}  # 1,024 at most
+    total, last = 0, None
+    for last in sorted(sizes, reverse=True):
+        if total + sizes[last] > most:
+            break
+        total += sizes[last]
+    if last is None:
+        return counted
+    share = min(1.0, (most - total) / sizes[last]) if total + sizes[last] > most else 1.0
+    part = F.pmod(F.xxhash64("w", F.lit(9)), F.lit(1 << 20)) < int(share * (1 << 20))
+    return binned.filter((F.col("bin") > last) | (F.col("bin") == last) & part).drop("bin")
+
+
 def frequent_words(docs: DataFrame, path: str = VOCABULARY, max_words: int = MAX_WORDS, text_col: str = "text") -> DataFrame:
-    """(word, ids) of the most frequent space-separated words; ids are those of a space and the word."""
+    """(word, ids) of the most frequent space-separated words and of pieces of the others.
+
+    A word's ids are those of a space and the word; so are those of a piece that
+    begins with a space, without which it stands here.  Another piece has a
+    space before it, which no word has.
+    """
     words = docs.select(F.explode(F.split(F.col(text_col), " ", -1)).alias("w")).groupBy("w").agg(F.count("*").alias("c"))
-    top = words.filter("c > 1").orderBy(F.desc("c"), "w").limit(max_words).select(F.col("w").alias("word"))
-    top = top.repartition(max(1, docs.sparkSession.sparkContext.defaultParallelism * 2), "word")
-    ids = _let(rank_literal(path), lambda t: F.flatten(F.transform(_pieces(F.concat(F.lit(" "), F.col("word"))), lambda p: _let(_bytes(p), lambda w: fold_word(t, w)))))
-    return top.select("word", ids.alias("ids"))
+    words = stored(words, "words")
+    whole = _most_frequent(words.filter("c > 1"), int(max_words * WORD_SHARE)).select("w")
+    rest = words.join(F.broadcast(whole), "w", "left_anti")  # whole has max_words rows at most
+    piece = F.explode(_pieces(F.concat(F.lit(" "), "w"))).alias("w")
+    pieces = rest.select(piece, "c").groupBy("w").agg(F.sum("c").alias("c")).withColumn("w", _key(F.col("w")))
+    pieces = _most_frequent(pieces.filter("c > 1"), max_words - int(max_words * WORD_SHARE)).select("w")
+    top = whole.unionByName(pieces).filter("w is not null").distinct().repartition(max(1, docs.sparkSession.sparkContext.defaultParallelism * 2), "w")
+    text = F.when(F.startswith("w", F.lit(" ")), F.substring("w", 2, 2147483647)).otherwise(F.concat(F.lit(" "), "w"))
+    ids = _let(rank_literal(path), lambda t: F.flatten(F.transform(_pieces(text), lambda p: _let(_bytes(p), lambda w: fold_word(t, w)))))
+    return top.select(F.col("w").alias("word"), ids.alias("ids"))
+
+
+def _key(piece: Column) -> Column:
+    """A piece as the table has it."""
+    return F.when(F.startswith(piece, F.lit(" ")), F.substring(piece, F.lit(2), F.length(piece))).otherwise(F.concat(F.lit(" "), piece))
 
 
 def _word_table(words: DataFrame) -> Column:
     """The words' ids as one value: maps by hash bucket."""
     spark = words.sparkSession
-    at = F.xxhash64("word").bitwiseAND(F.lit(WORD_BUCKETS - 1)).cast("int")
+    at = F.hash("word").bitwiseAND(F.lit(WORD_BUCKETS - 1))
     filled = words.groupBy(at.alias("b")).agg(F.collect_list(F.struct("word", "ids")).alias("e"))
     buckets = spark.range(WORD_BUCKETS).select(F.col("id").cast("int").alias("i")).join(filled, F.col("i") == F.col("b"), "left").select("i", "e")
     return buckets.agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "e"))), lambda x: F.map_from_entries(x["e"])).alias("t")).scalar()
@@ -144,11 +186,10 @@ def encode(docs: DataFrame, path: str = VOCABULARY, max_words: int = MAX_WORDS,
 
     def encoded(t: Column, words: Column) -> Column:
         def known(w: Column) -> Column:
-            return F.element_at(F.get(words, F.xxhash64(w).bitwiseAND(F.lit(WORD_BUCKETS - 1)).cast("int")), w)
+            return F.element_at(F.get(words, F.hash(w).bitwiseAND(F.lit(WORD_BUCKETS - 1))), w)
 
         def pieces(s: Column) -> Column:
-            again = lambda p: F.when(F.startswith(p, F.lit(" ")), known(F.substring(p, F.lit(2), F.length(p))))
-            return F.flatten(F.transform(_pieces(s), lambda p: F.coalesce(again(p), _let(_bytes(p), lambda w: fold_word(t, w)))))
+            return F.flatten(F.transform(_pieces(s), lambda p: F.coalesce(_let(_key(p), known), _let(_bytes(p), lambda w: fold_word(t, w)))))
 
         def by_space(parts: Column) -> Column:
             rest = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda w: F.coalesce(known(w), pieces(F.concat(F.lit(" "), w))))
@@ -167,7 +208,7 @@ def _piece_json(path: str) -> str:
     ranks = read_ranks(path)
     pieces = [""] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
-        pieces[rank] = piece.hex()
+        pieces[rank] = piece.decode("latin-1")
     return json.dumps(pieces)
 
 
@@ -177,8 +218,8 @@ def decode(tokens: Column, path: str = VOCABULARY) -> Column:
     An id that the vocabulary doesn't have, or a null id, adds nothing.
     """
     table = F.from_json(F.lit(_piece_json(path)), "array<string>")
-    # joined as hexadecimal digits: concatenating binary values one by one would copy each prefix again
-    return _let(table, lambda t: F.unhex(F.array_join(F.transform(tokens, lambda i: F.get(t, i)), "")))
+    # joined as one character a byte: concatenating binary values one by one would copy each prefix again
+    return _let(table, lambda t: F.encode(F.array_join(F.transform(tokens, lambda i: F.get(t, i)), ""), "ISO-8859-1"))
 
 
 def round_trip(docs: DataFrame, path: str = VOCABULARY, max_words: int = MAX_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
