@@ -28,7 +28,7 @@ from functools import lru_cache
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from strandline.llm.common import stored
+from strandline.llm.common import most_frequent, stored
 
 #: Where the vocabulary lies; a parameter of every function here.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -119,26 +119,6 @@ def _pieces(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
 
 
-def _most_frequent(counted: DataFrame, most: int) -> DataFrame:
-    """The rows (w, c) of greatest count, ``most`` or a few more or less.
-
-    Counts fall into bins of a 16th of a power of 2; of the last bin a share
-    by hash is taken, so that neither a sort nor one task sees all words.
-    """
-    binned = counted.withColumn("bin", F.floor(16 * F.log2("c")).cast("int"))
-    sizes = {r["bin"]: r["count"] for r in binned.groupBy("bin").count().collect()}  # 1,024 at most
-    total, last = 0, None
-    for last in sorted(sizes, reverse=True):
-        if total + sizes[last] > most:
-            break
-        total += sizes[last]
-    if last is None:
-        return counted
-    share = min(1.0, (most - total) / sizes[last]) if total + sizes[last] > most else 1.0
-    part = F.pmod(F.xxhash64("w", F.lit(9)), F.lit(1 << 20)) < int(share * (1 << 20))
-    return binned.filter((F.col("bin") > last) | (F.col("bin") == last) & part).drop("bin")
-
-
 def frequent_words(docs: DataFrame, path: str = VOCABULARY, max_words: int = MAX_WORDS, text_col: str = "text") -> DataFrame:
     """(word, ids) of the most frequent space-separated words and of pieces of the others.
 
@@ -148,11 +128,11 @@ def frequent_words(docs: DataFrame, path: str = VOCABULARY, max_words: int = MAX
     """
     words = docs.select(F.explode(F.split(F.col(text_col), " ", -1)).alias("w")).groupBy("w").agg(F.count("*").alias("c"))
     words = stored(words, "words")
-    whole = _most_frequent(words.filter("c > 1"), int(max_words * WORD_SHARE)).select("w")
+    whole = most_frequent(words.filter("c > 1"), int(max_words * WORD_SHARE), "w").select("w")
     rest = words.join(F.broadcast(whole), "w", "left_anti")  # whole has max_words rows at most
     piece = F.explode(_pieces(F.concat(F.lit(" "), "w"))).alias("w")
     pieces = rest.select(piece, "c").groupBy("w").agg(F.sum("c").alias("c")).withColumn("w", _key(F.col("w")))
-    pieces = _most_frequent(pieces.filter("c > 1"), max_words - int(max_words * WORD_SHARE)).select("w")
+    pieces = most_frequent(pieces.filter("c > 1"), max_words - int(max_words * WORD_SHARE), "w").select("w")
     top = whole.unionByName(pieces).filter("w is not null").distinct().repartition(max(1, docs.sparkSession.sparkContext.defaultParallelism * 2), "w")
     text = F.when(F.startswith("w", F.lit(" ")), F.substring("w", 2, 2147483647)).otherwise(F.concat(F.lit(" "), "w"))
     ids = _let(rank_literal(path), lambda t: F.flatten(F.transform(_pieces(text), lambda p: _let(_bytes(p), lambda w: fold_word(t, w)))))

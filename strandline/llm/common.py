@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Characters of text that one numpy pass works on.
 CHUNK_CHARS = 1_500_000
@@ -57,6 +57,50 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def most_frequent(counted: DataFrame, most: int, key: str) -> DataFrame:
+    """The rows of ``counted`` of greatest count ``c``, ``most`` or a few more or less.
+
+    Counts fall into bins of a 16th of a power of 2; of the last bin a share
+    by hash of ``key`` is taken, so that neither a sort nor one task sees all rows.
+    """
+    binned = counted.withColumn("__bin", F.floor(16 * F.log2("c")).cast("int"))
+    sizes = {r[0]: r[1] for r in binned.groupBy("__bin").count().collect()}  # 1,024 at most
+    total, last, share = 0, None, 1.0
+    for last in sorted(sizes, reverse=True):
+        if total + sizes[last] > most:
+            share = (most - total) / sizes[last]
+            break
+        total += sizes[last]
+    if last is None:
+        return counted
+    part = F.pmod(F.xxhash64(key, F.lit(9)), F.lit(1 << 20)) < int(share * (1 << 20))
+    return binned.filter((F.col("__bin") > last) | ((F.col("__bin") == last) & part)).drop("__bin")
+
+
+#: Bits of the filter that ``id_filter`` makes: 4 MB, whatever the number of ids.
+FILTER_BITS = 1 << 25
+
+
+def _filter_bit(ids: Column) -> Column:
+    return F.pmod(F.xxhash64(ids, F.lit(77)), F.lit(FILTER_BITS))
+
+
+def id_filter(ids: DataFrame, id_col: str):
+    """Broadcast bits (4 MB at most) of the ids in ``ids``, and the column that finds an id's bit.
+
+    A bit may stand for other ids as well: it spares work before a join, and
+    doesn't replace the join.
+    """
+    import numpy as np
+
+    bit = _filter_bit(F.col(id_col))
+    held = ids.groupBy(F.floor(bit / 32768).alias("bucket")).agg(F.bitmap_construct_agg(F.pmod(bit, F.lit(32768))).alias("bits")).toArrow()
+    bits = np.zeros((FILTER_BITS // 32768, 4096), np.uint8)
+    for bucket, b in zip(held["bucket"].to_pylist(), held["bits"].to_pylist()):
+        bits[bucket] = np.frombuffer(b, np.uint8)
+    return ids.sparkSession.sparkContext.broadcast(bits.ravel()), _filter_bit
+
+
 def chunks(sizes: list[int], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Consecutive ``(start, end)`` ranges whose sizes add up to about ``limit``.
 

@@ -3,9 +3,11 @@
 Tokens (hashed n-grams) are put in one global order, rare ones first, and a set
 is indexed by its prefix: two sets of Jaccard similarity t share a token there.
 
-1. Word counts over all documents, and n-grams that recur more than their words
-   explain (shared passages, copies), give the order.  Only the heaviest of both
-   are kept, in tables of fixed size; any order is correct, a better one skips more.
+1. One pass over the texts gives word counts, n-grams that recur more than their
+   words explain (shared passages, copies), and a fingerprint of each set.  Both
+   counts give the order; only the heaviest are kept, in tables of fixed size: any
+   order is correct, a better one skips more.  Documents with one fingerprint have
+   equal sets; the one of lowest id represents them from here on.
 2. Prefix tokens, packed by task and hash range, are grouped by token.  An index
    list is cut into blocks of neighbouring positions; a pair of blocks whose
    positions and sizes leave too little overlap is skipped as a whole.  Sets that
@@ -16,10 +18,15 @@ is indexed by its prefix: two sets of Jaccard similarity t share a token there.
    overlaps with all others there, from full index lists; the next set is the
    most similar one not yet answered, and its overlaps are those of the last set
    less the lists of tokens it lacks plus those of tokens it has in addition.
-   A copy thus costs nothing.  A large home is cut into blocks of members, and
-   every pair of blocks is a task of its own.
-
-Every pair is verified on whole sets.  Nothing is capped.
+   A large home is cut into blocks of members, and every pair of blocks is a
+   task of its own.
+4. A task tells how many links each of its sets has, weighted by copies, and
+   only those pairs that join groups not joined there before.  Stars of these
+   give the classes; copies get their representative's.
+
+Every pair is verified on whole sets, each in one task only.  Nothing is capped.
+Hashes stand for n-grams (64 bits in the index, 48 in verification): two n-grams
+of a pair meet with a chance of about 10^-9 a pair.
 """
 
 from __future__ import annotations
@@ -30,8 +37,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from strandline.llm.common import chunks, shuffle_partitions, stored
-from strandline.llm.textgrams import ngram_hashes, word_hashes
+from strandline.llm.common import chunks, id_filter, most_frequent, shuffle_partitions, stored
+from strandline.llm.textgrams import mix, ngram_hashes, word_hashes
 
 N, THRESHOLD = 2, 0.6
 #: Words and recurring n-grams in the ordering tables.
@@ -42,8 +49,12 @@ LOCAL_WORDS, LOCAL_GRAMS = 2, 3
 BLOCK = 3000
 #: Entries of an index list that one block has.
 LIST_BLOCK = 256
-#: Rows of (home, member) up to which they are broadcast to the texts.
-BROADCAST_MEMBERS = 1_000_000
+#: Prefix entries of one hash range, about.
+RANGE_ENTRIES = 4_000_000
+#: Ids of copies up to which they are broadcast; beyond, they are joined by shuffle.
+BROADCAST_COPIES = 1_000_000
+#: Copies from which a fingerprint is hot, and hot fingerprints at most.
+HOT, MOST_HOT = 10_000, 100_000
 
 
 def _sets(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -78,32 +89,61 @@ def _tally(values: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return v[keep], c[keep]
 
 
-def heavy_tokens(docs: DataFrame, n: int = N, text_col: str = "text") -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
-    """Most frequent words and n-grams with their counts, sorted by hash, and the number of texts."""
+def _prints(grams: np.ndarray, owner: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Size and a fingerprint of 128 bits of each text's set; ``grams`` are distinct, in order of text."""
+    size = np.bincount(owner, minlength=count)
+    ends = np.cumsum(size)
+    out = []
+    for salt in (0x51ED270B9F6AA1C3, 0xC2B2AE3D27D4EB4F):
+        run = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(grams ^ np.uint64(salt)))))
+        out.append((run[ends] - run[ends - size]).view(np.int64))
+    return size, out[0], out[1]
+
+
+_WORD, _GRAM, _TOTAL, _DOC = range(4)
+
+
+def tallied(docs: DataFrame, n: int, t: float, id_col: str, text_col: str) -> DataFrame:
+    """(kind, token, c, fa, fb), stored: tasks' counts of words and n-grams, prefix entries, and fingerprints.
+
+    A fingerprint's row has the id as token and the set's size as c; texts
+    without words have none.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts_seen = 0
+        entries = 0
+        names = ["kind", "token", "c", "fa", "fb"]
         for b in batches:
-            texts = b.column(0).to_pylist()
-            texts_seen += len(texts)
+            ids, texts = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), b.column(1).to_pylist()
             for s, e in chunks([len(t or "") for t in texts], 6_000_000):
                 words, per_text, grams, owner = _sets(texts[s:e], n)
+                own, owner = _distinct(grams, owner)
+                size, fa, fb = _prints(own, owner, e - s)
+                entries += int(_prefix(size, t)[size > 0].sum())
                 w, wc = _tally(words, LOCAL_WORDS)
-                g, gc = _tally(_distinct(grams, owner)[0], LOCAL_GRAMS)
-                kind = np.concatenate([np.zeros(len(w), np.int8), np.ones(len(g), np.int8)])
-                yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([w, g]).view(np.int64)), pa.array(np.concatenate([wc, gc]))], ["kind", "token", "c"])
-        yield pa.RecordBatch.from_arrays([pa.array([2], pa.int8()), pa.array([0], pa.int64()), pa.array([texts_seen], pa.int64())], ["kind", "token", "c"])
+                g, gc = _tally(own, LOCAL_GRAMS)
+                some = size > 0
+                kind = np.repeat(np.array([_WORD, _GRAM, _DOC], np.int8), [len(w), len(g), some.sum()])
+                zero = np.zeros(len(w) + len(g), np.int64)
+                columns = (kind, np.concatenate([w.view(np.int64), g.view(np.int64), ids[s:e][some]]), np.concatenate([wc, gc, size[some]]), np.concatenate([zero, fa[some]]), np.concatenate([zero, fb[some]]))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names)
+        yield pa.RecordBatch.from_arrays([pa.array([_TOTAL], pa.int8()), *(pa.array([x], pa.int64()) for x in (0, entries, 0, 0))], names)
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
+    return stored(rows.mapInArrow(count, "kind tinyint, token bigint, c bigint, fa bigint, fb bigint"), "tallies")
 
-    total = docs.select(text_col).mapInArrow(count, "kind tinyint, token bigint, c bigint").groupBy("kind", "token").agg(F.sum("c").alias("c"))
-    total = stored(total, "heavy")
+
+def heavy_tokens(tallies: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """Most frequent words and n-grams with their counts, sorted by hash, and the number of prefix entries."""
+    total = stored(tallies.filter(F.col("kind") < _DOC).groupBy("kind", "token").agg(F.sum("c").alias("c")), "heavy")
     out = []
-    for kind, most in ((0, MAX_WORDS), (1, MAX_GRAMS)):
-        t = total.filter(F.col("kind") == kind).orderBy(F.desc("c"), "token").limit(most).select("token", "c").toArrow()
+    for kind, most in ((_WORD, MAX_WORDS), (_GRAM, MAX_GRAMS)):
+        t = most_frequent(total.filter(F.col("kind") == kind), most, "token").select("token", "c").toArrow()
         token, c = t["token"].to_numpy().view(np.uint64), t["c"].to_numpy()
         order = np.argsort(token)
         out += [token[order], c[order]]
-    docs_seen = sum(r["c"] for r in total.filter("kind = 2").collect())
-    return (*out, docs_seen)
+    entries = sum(r["c"] for r in total.filter(F.col("kind") == _TOTAL).collect())
+    return (*out, entries)
 
 
 def _count_of(values: np.ndarray, table: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -213,10 +253,10 @@ def _small_lists(start: np.ndarray, length: np.ndarray, size: np.ndarray, pos: n
             keep[at] |= ok.any(2)
 
 
-def members(docs: DataFrame, heavy: tuple, n: int, t: float, id_col: str, text_col: str) -> DataFrame:
-    """(home, doc_id): sets that may be similar share a home."""
-    spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
+def members(own: DataFrame, heavy: tuple, n: int, t: float) -> DataFrame:
+    """(home, doc_id): sets of ``own`` (doc_id, text) that may be similar share a home."""
+    spark = own.sparkSession
+    parts = max(shuffle_partitions(spark), -(-heavy[4] // RANGE_ENTRIES))
     table = spark.sparkContext.broadcast(heavy)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +290,7 @@ def members(docs: DataFrame, heavy: tuple, n: int, t: float, id_col: str, text_c
                 front = pos < _prefix(size, t)[o]
                 held.append((ids[s:e].astype(np.int64), size, o[front], g[front], pos[front]))
                 total += int(front.sum())
-                if total > 3_000_000:
+                if total > 1_500_000:
                     yield flush(held)
                     held, total = [], 0
         if held:
@@ -292,7 +332,7 @@ def members(docs: DataFrame, heavy: tuple, n: int, t: float, id_col: str, text_c
         if blobs:
             yield found(blobs, raw)
 
-    packed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null").mapInArrow(index, "part int, blob binary, n_bytes bigint")
+    packed = own.mapInArrow(index, "part int, blob binary, n_bytes bigint")
     return packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(lists, "home bigint, doc_id bigint").distinct()
 
 
@@ -351,6 +391,36 @@ def _folded(words: np.ndarray, count: int) -> np.ndarray:
     return np.bitwise_or.reduce(words.reshape(len(words), -1, count), axis=1)
 
 
+class _Lower:
+    """Which members of a home share a lower home; their pairs belong there."""
+
+    def __init__(self, lists: list[list[int]], home: int) -> None:
+        self.lower = [[g for g in x if g < home] for x in lists]
+        members: dict[int, list[int]] = {}
+        for k, x in enumerate(self.lower):
+            for g in x:
+                members.setdefault(g, []).append(k)
+        self.members = {g: np.array(x, np.int64) for g, x in members.items() if len(x) > 1}
+        self.count = len(lists)
+
+    def of(self, k: int) -> np.ndarray | None:
+        """A mask of the members that share a lower home with member k; None for none."""
+        found = [self.members[g] for g in self.lower[k] if g in self.members]
+        if not found:
+            return None
+        mask = np.zeros(self.count, bool)
+        for x in found:
+            mask[x] = True
+        return mask
+
+    def clear(self, ok: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> None:
+        """Take such pairs out of a matrix of pairs."""
+        for r in np.flatnonzero(ok.any(1)):
+            mask = self.of(int(rows[r]))
+            if mask is not None:
+                ok[r] &= ~mask[columns]
+
+
 def _pruner(t: float):
     """Members that still have a partner by the bitmaps' bound on the overlap.
 
@@ -366,11 +436,7 @@ def _pruner(t: float):
         size = np.array([int(np.frombuffer(h, np.int64, 1)[0]) for h in held])
         count = np.array([(len(h) - 8) // 8 for h in held])
         keep = np.zeros(len(ids), bool)
-        lists = group["homes"].to_pylist()
-        lower = {g: k for k, g in enumerate(sorted({g for x in lists for g in x if g < home}))}
-        shared = np.zeros((len(ids), max(1, len(lower))), np.float32)
-        for k, x in enumerate(lists):
-            shared[k, [lower[g] for g in x if g < home]] = 1
+        owned = _Lower(group["homes"].to_pylist(), home)
         for c in np.unique(count):
             small = np.flatnonzero(count == c)
             x = np.stack([np.frombuffer(held[k], np.uint64, offset=8) for k in small])
@@ -390,7 +456,7 @@ def _pruner(t: float):
                     ok = (bound >= _need(a, b, t)) & (np.minimum(a, b) >= t * np.maximum(a, b) - 1e-9) & (ids[i][:, None] != ids[large][None, :])
                     if ba != bb:
                         ok &= where[i][:, None] != where[large][None, :]
-                    ok &= shared[i] @ shared[large].T == 0  # a lower home has both
+                    owned.clear(ok, i, large)
                     keep[i] |= ok.any(1)
                     keep[large] |= ok.any(0)
         left = np.unique(ids[keep])
@@ -400,70 +466,62 @@ def _pruner(t: float):
 
 
 def _gathered(own: DataFrame, found: DataFrame, n: int, payload) -> DataFrame:
-    """(home, ba, bb, block, doc_id, payload): members with what a task needs of their sets; with bitmaps, also their homes.
+    """(home, ba, bb, block, doc_id, copies, homes, payload): members with what a task needs of their sets.
 
     Member k of a home lies in one of its blocks; a task has two blocks, or one
-    with itself.
+    with itself.  Texts stay where they are: their hashes are joined with the
+    members, after a filter of fixed size has dropped most others.
     """
     sizes = found.groupBy("home").agg(F.count("*").alias("m")).filter("m > 1")
     blocked = found.join(sizes, "home").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     tasks = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        F.col("doc_id").alias("__member"), "home", F.least("block", "other").alias("ba"), F.greatest("block", "other").alias("bb"), "block"
+        F.col("doc_id").alias("__member"), "copies", "home", F.least("block", "other").alias("ba"), F.greatest("block", "other").alias("bb"), "block"
     )
-    few = found.limit(BROADCAST_MEMBERS + 1).count() <= BROADCAST_MEMBERS
-    per_doc = tasks.groupBy("__member").agg(F.collect_list(F.struct("home", "ba", "bb", "block")).alias("at"))
-    chosen = own.join(F.broadcast(per_doc) if few else per_doc, F.col("doc_id") == F.col("__member"))
+    per_doc = tasks.groupBy("__member").agg(F.max("copies").alias("copies"), F.collect_list(F.struct("home", "ba", "bb", "block")).alias("at"))
+    bits, bit = id_filter(found, "doc_id")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = bits.value
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            at = b.column(2).to_numpy()
+            b = b.filter(pa.array(seen[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1))
+            ids, texts = b.column(0), b.column(1).to_pylist()
             for s, e in chunks([len(x or "") for x in texts], 3_000_000):
                 _, _, grams, owner = _sets(texts[s:e], n)
                 g, o = _distinct(grams, owner)
                 cut = np.searchsorted(o, np.arange(e - s + 1))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[s:e], pa.int64()), pa.array([payload(g[cut[i] : cut[i + 1]]) for i in range(e - s)], pa.binary()), b.column(2).slice(s, e - s)], ["doc_id", "payload", "at"])
-
-    kind = "array<struct<home:bigint,ba:int,bb:int,block:int>>"
-    sets = chosen.select("doc_id", "text", "at").mapInArrow(gather, f"doc_id bigint, payload binary, at {kind}")
-    homes = [F.array_distinct("at.home").alias("homes")] if payload is _bitmap else []
-    return sets.select("doc_id", "payload", *homes, F.explode("at").alias("p")).select("p.home", "p.ba", "p.bb", "p.block", "doc_id", "payload", *(["homes"] if homes else []))
-
+                yield pa.RecordBatch.from_arrays([ids.slice(s, e - s), pa.array([payload(g[cut[i] : cut[i + 1]]) for i in range(e - s)], pa.binary())], ["doc_id", "payload"])
 
-def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", forest: bool = False) -> DataFrame:
-    """(a, b, jaccard) for all pairs of ids a < b whose n-gram sets are ``threshold`` similar.
+    sets = own.select("doc_id", "text", bit(F.col("doc_id")).alias("bit")).mapInArrow(gather, "doc_id bigint, payload binary")
+    joined = sets.join(per_doc, F.col("doc_id") == F.col("__member"))
+    return joined.select("doc_id", "payload", "copies", F.array_distinct("at.home").alias("homes"), F.explode("at").alias("p")).select("p.home", "p.ba", "p.bb", "p.block", "doc_id", "copies", "homes", "payload")
 
-    Words are lower-cased and split at white space; a text of fewer than n words
-    has one gram, all its words.  A text without words (null, empty, white space)
-    has no partner, nor has a row with a null id.  Of rows that
-    repeat an id each is compared by itself, and the best similarity of two ids is
-    given.  Ids must be integers.  An empty
-    table gives an empty result; other columns are ignored.
 
-    With ``forest`` only pairs that join groups not joined before are given: the
-    groups are the same, with far fewer rows.
-    """
-    heavy = heavy_tokens(docs, n, text_col)
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    first = stored(members(docs, heavy, n, threshold, id_col, text_col), "members")
-    bits = _gathered(own, first, n, _bitmap).groupBy("home", "ba", "bb").applyInArrow(_pruner(threshold), "home bigint, doc_id bigint")
-    found = stored(bits.distinct(), "members")
-    rows = _gathered(own, found, n, _six)
+def _joiner(t: float, pairs: bool):
+    """What a task tells of its pairs: all of them, or links by set and the pairs that join groups."""
 
     def join(group: pa.Table) -> pa.Table:
-        ba, bb = group["ba"][0].as_py(), group["bb"][0].as_py()
+        ba, bb, home = group["ba"][0].as_py(), group["bb"][0].as_py(), group["home"][0].as_py()
         order = np.argsort(group["doc_id"].to_numpy(), kind="stable")
-        ids, where = group["doc_id"].to_numpy()[order], group["block"].to_numpy()[order]
-        held = group["payload"].to_pylist()
+        ids, where, copies = (group[c].to_numpy()[order] for c in ("doc_id", "block", "copies"))
+        payload, homes = group["payload"], group["homes"].to_pylist()
+        owned = _Lower([homes[k] for k in order], home)
+        sets = [_from_six(payload[k].as_py()) for k in order.tolist()]
         left = np.flatnonzero(where == ba)
         right = left if ba == bb else np.flatnonzero(where == bb)
-        label = np.arange(len(ids))
+        label, links = np.arange(len(ids)), np.zeros(len(ids), np.int64)
         a, b, s = [], [], []
-        for i, js, sim in _answers([_from_six(held[k]) for k in order], left, right, threshold):
+        for i, js, sim in _answers(sets, left, right, t):
             ok = ids[js] != ids[i]
             if ba == bb:
                 ok &= js > i
+            mask = owned.of(i)
+            if mask is not None:
+                ok &= ~mask[js]
             js, sim = js[ok], sim[ok]
-            if forest and len(js):
+            links[i] += copies[js].sum()
+            links[js] += copies[i]
+            if not pairs and len(js):
                 apart, first = np.unique(label[js], return_index=True)
                 new = apart != label[i]
                 js, sim = js[first[new]], sim[first[new]]
@@ -472,11 +530,89 @@ def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_
             a.append(np.minimum(ids[i], ids[js]))
             b.append(np.maximum(ids[i], ids[js]))
             s.append(sim)
-        none = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b]), "jaccard": np.concatenate([np.zeros(0), *s])})
+        some = np.flatnonzero(links) if not pairs else np.zeros(0, np.int64)
+        none, count = np.zeros(0, np.int64), sum(map(len, a))
+        return pa.table({
+            "a": pa.array(np.concatenate([none, *a, ids[some]])), "b": pa.array(np.concatenate([none, *b, ids[some]])),
+            "jaccard": pa.array(np.concatenate([np.zeros(0), *s, np.zeros(len(some))])), "links": pa.array(np.concatenate([np.zeros(count, np.int64), links[some]])),
+        })
+
+    return join
+
+
+class _Join:
+    """The join's parts: ``rows`` (a, b, jaccard, links) and the documents' representatives."""
+
+    def __init__(self, docs: DataFrame, n: int, t: float, id_col: str, text_col: str, pairs: bool) -> None:
+        kind = docs.schema[id_col].dataType.typeName()
+        if kind not in ("byte", "short", "integer", "long", "void"):
+            raise TypeError(f"ids must be integers, not {kind}")
+        own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
+        tallies = tallied(own, n, t, "doc_id", "text")
+        heavy = heavy_tokens(tallies)
+        # rows that repeat an id and a set are one; an id with several sets shares its fingerprints with no other
+        rows = tallies.filter(F.col("kind") == _DOC).select(F.col("token").alias("doc_id"), "fa", "fb")
+        prints = stored(rows.distinct(), "prints")
+        several = stored(prints.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__several")), "several")
+        if several.isEmpty():
+            self.prints = prints.withColumn("own", F.lit(0).cast("long"))
+        else:
+            self.prints = prints.join(several, F.col("doc_id") == F.col("__several"), "left").select("doc_id", "fa", "fb", F.when(F.col("__several").isNull(), F.lit(0).cast("long")).otherwise(F.shiftleft("doc_id", 1).bitwiseOR(F.lit(1))).alias("own"))
+        self.reps = stored(self.prints.groupBy("fa", "fb", "own").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "representatives")
+        other = stored(self.prints.join(self.reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti").select(F.col("doc_id").alias("__copy")).distinct(), "copies")
+        few = other.limit(BROADCAST_COPIES + 1).count() <= BROADCAST_COPIES
+        chosen = own.join(F.broadcast(other) if few else other, F.col("doc_id") == F.col("__copy"), "left_anti")
+        if rows.count() > prints.count():
+            chosen = chosen.dropDuplicates(["doc_id", "text"])
+        weight = self.reps.groupBy(F.col("rep").alias("doc_id")).agg(F.max("copies").alias("copies"))
+        first = stored(members(chosen, heavy, n, t).join(weight, "doc_id"), "members")
+        bits = _gathered(chosen, first, n, _bitmap).groupBy("home", "ba", "bb").applyInArrow(_pruner(t), "home bigint, doc_id bigint")
+        found = stored(bits.distinct().join(weight, "doc_id"), "members")
+        self.rows = _gathered(chosen, found, n, _six).groupBy("home", "ba", "bb").applyInArrow(_joiner(t, pairs), "a bigint, b bigint, jaccard double, links bigint")
+
+
+def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(a, b, jaccard) for all pairs a < b of representatives whose n-gram sets are ``threshold`` similar.
+
+    A representative is the lowest id of those with an equal set; see
+    ``similar_classes`` for everything else.
+    """
+    return _Join(docs, n, threshold, id_col, text_col, True).rows.groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
+
 
-    pairs = rows.groupBy("home", "ba", "bb").applyInArrow(join, "a bigint, b bigint, jaccard double")
-    return pairs.groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
+def similar_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, class_id, links) for each id of ``docs``.
+
+    ``links`` is the number of other ids whose n-gram sets are ``threshold``
+    similar to the id's, copies included; ``class_id`` is the lowest id that is
+    reached over links, the id itself without any.
+
+    Words are lower-cased and split at white space; a text of fewer than n words
+    has one gram, all its words.  A text without words (null, empty, white space)
+    has no links.  Rows that repeat an id and a set are one; sets of one id that
+    differ are compared one by one, and its links are added.  A null id has a row
+    with a null class and no links, as often as it occurs.  Ids must be integers;
+    others raise a TypeError.  An empty table gives an empty result; other columns
+    are ignored.
+    """
+    join = _Join(docs, n, threshold, id_col, text_col, False)
+    rows = stored(join.rows, "links")
+    links = rows.filter("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
+    of_group = groups(rows.filter("a < b").select("a", "b")).select(F.col("doc_id").alias("rep"), F.col("group").alias("class_id"))
+    reps = join.reps.join(links, "rep", "left").join(of_group, "rep", "left")
+    # only sets that a row may share have anything to tell
+    told = reps.filter("copies > 1 or links is not null").select("fa", "fb", "own", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), "copies")
+    told = stored(told, "classes")
+    # hot fingerprints are broadcast, so that no task has all copies of one text
+    hot_from = max(HOT, told.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0] // MOST_HOT)
+    hot, rest = told.filter(F.col("copies") > hot_from).drop("copies"), told.filter(F.col("copies") <= hot_from).drop("copies")
+    keys, prints = ["fa", "fb", "own"], join.prints
+    known = prints.join(F.broadcast(hot), keys).unionByName(prints.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(rest, keys))
+    known = known.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("links").alias("links"))
+    ids = docs.select(F.col(id_col).alias("doc_id"))
+    every = ids.filter("doc_id is not null").distinct().join(known.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left")
+    none = ids.filter("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("links"))
+    return every.select("doc_id", F.coalesce("class_id", F.col("doc_id").cast("long")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links")).unionByName(none)
 
 
 def groups(pairs: DataFrame) -> DataFrame:
@@ -501,7 +637,18 @@ def groups(pairs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without documents whose group of similar ones has a lower id."""
-    found = groups(similar_pairs(docs, n, threshold, id_col, text_col, forest=True)).select(F.col("doc_id").alias("__dropped"))
-    few = found.limit(2_000_001).count() <= 2_000_000
-    return docs.join(F.broadcast(found) if few else found, F.col(id_col) == F.col("__dropped"), "left_anti")
+    """``docs``, with all columns, without documents whose class has a lower id.
+
+    Null, empty and blank texts stay, as do rows with a null id.  Rows that repeat
+    an id are one document: all go or, of those with one text, one row stays.  An
+    empty table gives an empty result; ids that aren't integers raise a TypeError.
+    """
+    classes = stored(similar_classes(docs, n, threshold, id_col, text_col).filter("doc_id is not null"), "classes")
+    dropped = classes.filter("class_id < doc_id").select(F.col("doc_id").alias("__dropped"))
+    few = dropped.limit(2_000_001).count() <= 2_000_000
+    kept = docs.join(F.broadcast(dropped) if few else dropped, F.col(id_col) == F.col("__dropped"), "left_anti")
+    again = stored(docs.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__again")).count().filter("count > 1").select("__again"), "repeats")
+    if again.isEmpty():
+        return kept
+    same = F.col(id_col) == F.col("__again")
+    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([id_col, text_col]))

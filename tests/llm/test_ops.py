@@ -251,14 +251,58 @@ def near_texts():
     return [*texts, None, "", "   ", "One", "one", "ONE ", "two words", "Two Words", base[0] + " " + words(rng, 3000), base[0], base[0]]
 
 
+def links_and_classes(texts, ids=None):
+    """{id: (class, links)} by brute force over the different sets of each id."""
+    ids = ids or list(range(len(texts)))
+    entries = sorted({(i, frozenset(x)) for i, x in ((i, set_of(t)) for i, t in zip(ids, texts)) if x}, key=lambda e: e[0])
+    links, group = dict.fromkeys(ids, 0), {i: i for i in ids}
+    for a, (i, x) in enumerate(entries):
+        for j, y in entries[a + 1 :]:
+            if i != j and len(x & y) >= 0.6 * len(x | y) - 1e-12:
+                links[i] += 1
+                links[j] += 1
+                low, high = sorted((group[i], group[j]))
+                group = {k: low if g == high else g for k, g in group.items()}
+    return {i: (group[i], links[i]) for i in ids}
+
+
+def set_of(text, n=2):
+    w = (text or "").lower().split()
+    return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} or ({tuple(w)} if w else set())
+
+
 @pytest.mark.parametrize("block", [3000, 7])
 def test_ngram_join(spark, monkeypatch, block):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "BROADCAST_COPIES", block // 1000)
+    monkeypatch.setattr(ngram_join, "HOT", block // 3)
     texts = near_texts()
     d = docs(spark, texts)
-    got = {(r.a, r.b): r.jaccard for r in ngram_join.similar_pairs(d).collect()}
-    want = jaccard_pairs(texts, 0.6)
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    got = {r.doc_id: (r.class_id, r.links) for r in ngram_join.similar_classes(d).collect()}
+    assert got == links_and_classes(texts)
+    pairs = {(r.a, r.b): r.jaccard for r in ngram_join.similar_pairs(d).collect()}
+    first = {}
+    for i, t in enumerate(texts):
+        first.setdefault(frozenset(set_of(t)), i)
+    want = {k: v for k, v in jaccard_pairs(texts, 0.6).items() if all(first[frozenset(set_of(texts[i]))] == i for i in k)}
+    assert pairs.keys() == want.keys() and all(abs(pairs[k] - want[k]) < 1e-9 for k in pairs)
+
+
+def test_ngram_join_repeats(spark):
+    """Repeated rows, one id with several texts, null ids, ids that aren't numbers."""
+    texts = near_texts()
+    ids = list(range(len(texts)))
+    texts, ids = texts + texts[:20] + ["other words here"] * 2 + [texts[3]], ids + ids[:20] + [4, 4, 9]
+    d = docs(spark, texts).join(spark.createDataFrame(list(enumerate(ids)), "doc_id bigint, new bigint"), "doc_id").withColumn("doc_id", F.col("new")).drop("new")
+    d = d.unionByName(docs(spark, ["x y", None]).withColumn("doc_id", F.lit(None).cast("bigint")))
+    rows = ngram_join.similar_classes(d).collect()
+    got = {r.doc_id: (r.class_id, r.links) for r in rows if r.doc_id is not None}
+    assert got == links_and_classes(texts, ids) and [(r.class_id, r.links) for r in rows if r.doc_id is None] == [(None, 0)] * 2
+    kept = [r.doc_id for r in ngram_join.keep_one(d).collect()]
+    assert set(kept) - {None} == {i for i, (c, _) in got.items() if c == i} and kept.count(None) == 2 and kept.count(0) == 1
+    with pytest.raises(TypeError):
+        ngram_join.similar_classes(d.withColumn("doc_id", F.col("doc_id").cast("string")))
+    assert ngram_join.similar_classes(docs(spark, [])).count() == 0
 
 
 def test_keep_one(spark):
