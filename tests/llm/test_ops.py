@@ -138,6 +138,33 @@ def test_toxicity(spark):
     assert not toxicity.fit([], plain).decide(0, 9)
 
 
+def test_toxicity_brute(spark):
+    """Scores by compressing every word of every document anew, and a fit that doesn't depend on row order."""
+    import zstandard as zs
+
+    rng = random.Random(9)
+    bad = ["zzkill", "zzhateful"]
+    texts = [words(rng, 60) + (" " + " ".join(rng.choice(bad) for _ in range(3)) if i % 3 == 0 else "") for i in range(90)] + [None, "", "One;zzkill,TWO"]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(0, 90, 2)] + [(1, 1, 0), (1, 1, 1), (None, 1, 1), (5, 1, None)], "doc_id bigint, quality int, toxic int")
+    d = docs(spark, texts)
+    model = toxicity.fit_on(d, labels)
+    assert model == toxicity.fit_on(d.unionByName(d).repartition(5), labels)
+    p = zs.ZstdCompressionParameters.from_level(toxicity.LEVEL, min_match=toxicity.MIN_MATCH, write_content_size=0, write_checksum=0, write_dict_id=0, format=zs.FORMAT_ZSTD1_MAGICLESS)
+
+    def length(dictionary, word):
+        c = zs.ZstdCompressor(dict_data=zs.ZstdCompressionDict(dictionary, dict_type=zs.DICT_TYPE_RAWCONTENT), compression_params=p)
+        return len(c.compress(f" {word} ".encode() + toxicity.TRAILER))
+
+    def toxic(part):
+        return (length(model.ordinary, part) - length(model.toxic, part)) / (len(part.encode()) + 1) >= model.gain
+
+    for r in toxicity.score(d, model).collect():
+        spaced = (texts[r.doc_id] or "").lower().split()
+        hits = sum(any(toxic(x) for x in toxicity.normal_words(w)) for w in spaced)
+        assert (r.windows, r.toxic_windows, r.toxic) == (len(spaced), hits, hits > 0 and hits >= model.share * len(spaced))
+    assert sum(r.toxic for r in toxicity.score(d, model).collect()) >= 28
+
+
 TEXTS = ["", "Hello  world", "a", "  ", "a" * 30, "I'll be 123 ok!!\n\n  x  \n y", " x   z", "éàü 日本語 😀", "thintiing ertion, ok.\nFrom", None, "xy" * 600, " lead", "trail ", "a  b", "<|endoftext|>", "Hello  world"]
 
 
