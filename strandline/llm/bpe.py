@@ -25,7 +25,6 @@ import base64
 import json
 from functools import lru_cache
 
-import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from strandline.llm.common import most_frequent, stored
@@ -37,7 +36,10 @@ MAX_WORDS, WORD_BUCKETS, RANK_BUCKETS = 1 << 19, 1 << 17, 1 << 15
 WORD_SHARE = 0.75
 #: (?U): white space as Unicode has it.
 PATTERN = r"(?U)'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_NONE = 2147483647
+#: Rank of what isn't a token; it has 17 bits and one.
+_NONE = 1 << 17
+#: Bytes of a word up to which its fold keeps each pair as one number; longer ones are folded over arrays.
+SHORT = 64
 
 
 @lru_cache(maxsize=4)
@@ -46,12 +48,29 @@ def read_ranks(path: str = VOCABULARY) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+def _murmur(data: bytes, seed: int = 42) -> int:
+    """The engine's ``hash`` of a string with these UTF-8 bytes, without sign."""
+    mask = 0xFFFFFFFF
+
+    def turn(x: int, r: int) -> int:
+        return (x << r | x >> (32 - r)) & mask
+
+    h, whole = seed, len(data) & ~3
+    parts = [int.from_bytes(data[i : i + 4], "little") for i in range(0, whole, 4)]
+    for k in [*parts, *((b - 256 if b > 127 else b) & mask for b in data[whole:])]:
+        h = turn(h ^ (turn(k * 0xCC9E2D51 & mask, 15) * 0x1B873593 & mask), 13) * 5 + 0xE6546B64 & mask
+    h ^= len(data)
+    h = (h ^ h >> 16) * 0x85EBCA6B & mask
+    h = (h ^ h >> 13) * 0xC2B2AE35 & mask
+    return h ^ h >> 16
+
+
 @lru_cache(maxsize=4)
 def _rank_json(path: str) -> str:
     buckets: list[dict[str, int] | None] = [None] * RANK_BUCKETS
     for piece, rank in read_ranks(path).items():
         key = piece.decode("latin-1")
-        at = xxhash.xxh64_intdigest(key.encode(), seed=42) % RANK_BUCKETS
+        at = _murmur(key.encode()) % RANK_BUCKETS
         buckets[at] = {**(buckets[at] or {}), key: rank}
     return json.dumps(buckets)
 
@@ -65,8 +84,8 @@ def rank_literal(path: str = VOCABULARY) -> Column:
 
 
 def _let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once."""
-    return F.transform(F.array(value), body)[0]
+    """``body(value)`` with ``value`` computed once: a fold over nothing that ends in ``body``."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda held, _: held, body)
 
 
 def _bytes(word: Column) -> Column:
@@ -74,15 +93,53 @@ def _bytes(word: Column) -> Column:
     return F.decode(word.cast("binary"), "ISO-8859-1")
 
 
+def _find(table: Column, piece: Column) -> Column:
+    """The rank of ``piece``, null if it isn't a token."""
+    return F.element_at(F.get(table, F.hash(piece).bitwiseAND(F.lit(RANK_BUCKETS - 1))), piece)
+
+
 def _rank(table: Column, piece: Column) -> Column:
-    bucket = F.get(table, F.xxhash64(piece).bitwiseAND(F.lit(RANK_BUCKETS - 1)).cast("int"))
-    return F.coalesce(F.element_at(bucket, piece), F.lit(_NONE))
+    return F.coalesce(_find(table, piece), F.lit(_NONE))
 
 
-def fold_word(table: Column, word: Column) -> Column:
-    """Ids of one word (a character for each byte) under the rank map ``table``.
+def _fold_short(table: Column, word: Column) -> Column:
+    """The fold of a word of at most ``SHORT`` bytes.
+
+    Its state is an array of adjacent pairs, each a number of rank, start, middle
+    and end: the least is the leftmost of lowest rank.  A merge takes it out and
+    widens the two pairs beside it.
+    """
+    shift = lambda c, by: F.call_function("shiftleft", c, F.lit(by))
+    part = lambda c, by: F.call_function("shiftright", c, F.lit(by)).bitwiseAND(F.lit(0x7FFF)).cast("int")
+    start, middle, end = (lambda y: part(y, 30)), (lambda y: part(y, 15)), (lambda y: y.bitwiseAND(F.lit(0x7FFF)).cast("int"))
+
+    def pair(s: Column, m: Column, e: Column) -> Column:
+        rank = _rank(table, F.substring(word, s, e - s)).cast("bigint")
+        return shift(rank, 45).bitwiseOR(shift(s.cast("bigint"), 30)).bitwiseOR(shift(m, 15)).bitwiseOR(e)
+
+    def merge(pairs: Column, _: Column) -> Column:
+        def at(x: Column) -> Column:
+            def widened(s: Column, e: Column) -> Column:
+                return F.transform(F.array_remove(pairs, x), lambda y: F.when(middle(y) == s, pair(start(y), s, e)).when(start(y) == middle(x), pair(s, e, end(y))).otherwise(y))
+
+            return F.when(x >= F.lit(_NONE << 45), pairs).otherwise(_let(start(x), lambda s: _let(end(x), lambda e: widened(s, e))))
+
+        return _let(F.array_min(pairs), at)
 
-    The state is the pieces' boundaries in the word, the ranks of adjacent
+    def ids(pairs: Column) -> Column:
+        def last(y: Column) -> Column:
+            return F.array(_find(table, F.substring(word, middle(y), end(y) - middle(y))))
+
+        return F.concat(F.transform(pairs, lambda y: _find(table, F.substring(word, start(y), middle(y) - start(y)))), _let(F.element_at(pairs, -1), last))
+
+    n = F.length(word)
+    return F.aggregate(F.sequence(F.lit(1), n - 1), F.transform(F.sequence(F.lit(1), n - 1), lambda i: pair(i, i + 1, i + 2)), merge, ids)
+
+
+def _fold_long(table: Column, word: Column) -> Column:
+    """The fold of a longer word.
+
+    Its state is the pieces' boundaries in the word, the ranks of adjacent
     pairs, and which pair is next (0: none); a merge takes out one boundary.
     """
     n = F.length(word)
@@ -90,7 +147,7 @@ def fold_word(table: Column, word: Column) -> Column:
     span = lambda start, end: _rank(table, F.substring(word, start, end - start))
 
     def best(b: Column, r: Column) -> Column:
-        at = F.when(F.array_min(r) < _NONE, F.array_position(r, F.array_min(r)).cast("int"))
+        at = _let(F.array_min(r), lambda x: F.when(x < _NONE, F.array_position(r, x).cast("int")))
         return F.struct(b.alias("b"), r.alias("r"), F.coalesce(at, F.lit(0)).alias("k"))
 
     def merge(s: Column, _: Column) -> Column:
@@ -107,12 +164,18 @@ def fold_word(table: Column, word: Column) -> Column:
     def ids(s: Column) -> Column:
         return F.transform(F.sequence(F.lit(1), F.size(s["b"]) - 1), lambda i: span(F.get(s["b"], i - 1), F.get(s["b"], i)))
 
-    def folded(pairs: Column) -> Column:
-        return F.aggregate(F.sequence(F.lit(1), n - 1), best(F.sequence(F.lit(1), n + 1), pairs), merge, ids)
-
-    # a word that is a token needs no merges: every token is what its own merges make
     pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: _rank(table, F.substring(word, i, F.lit(2))))
-    return _let(_rank(table, word), lambda w: F.when(w < _NONE, F.array(w)).when(n > 1, _let(pairs, folded)).otherwise(none))
+    return _let(pairs, lambda p: F.aggregate(F.sequence(F.lit(1), n - 1), best(F.sequence(F.lit(1), n + 1), p), merge, ids))
+
+
+def fold_word(table: Column, word: Column) -> Column:
+    """Ids of one word (a character for each byte) under the rank map ``table``.
+
+    A word that is a token needs no merges: every token is what its own merges make.
+    """
+    n = F.length(word)
+    folded = F.when(n > SHORT, _fold_long(table, word)).when(n > 1, _fold_short(table, word)).otherwise(F.array().cast("array<int>"))
+    return _let(_find(table, word), lambda w: F.when(w.isNotNull(), F.array(w)).otherwise(folded))
 
 
 def _pieces(text: Column) -> Column:
@@ -132,6 +195,7 @@ def frequent_words(docs: DataFrame, path: str = VOCABULARY, max_words: int = MAX
     rest = words.join(F.broadcast(whole), "w", "left_anti")  # whole has max_words rows at most
     piece = F.explode(_pieces(F.concat(F.lit(" "), "w"))).alias("w")
     pieces = rest.select(piece, "c").groupBy("w").agg(F.sum("c").alias("c")).withColumn("w", _key(F.col("w")))
+    pieces = pieces.join(F.broadcast(whole), "w", "left_anti")
     pieces = most_frequent(pieces.filter("c > 1"), max_words - int(max_words * WORD_SHARE), "w").select("w")
     top = whole.unionByName(pieces).filter("w is not null").distinct().repartition(max(1, docs.sparkSession.sparkContext.defaultParallelism * 2), "w")
     text = F.when(F.startswith("w", F.lit(" ")), F.substring("w", 2, 2147483647)).otherwise(F.concat(F.lit(" "), "w"))

@@ -179,6 +179,8 @@ def test_bpe(spark, max_words):
         assert got[i].tokens == (None if t is None else enc.encode_ordinary(t))
         assert t is None or got[i].same
     if max_words == 2:
+        same = spark.createDataFrame([(t,) for t in TEXTS if t is not None], "t string").select("t", F.hash("t").alias("h")).collect()
+        assert all(bpe._murmur(r.t.encode()) == r.h % 2**32 for r in same)
         assert bpe.encode(docs(spark, [])).count() == 0
         d = spark.createDataFrame([([1, None, 60000, 2],), (None,), ([],)], "ids array<int>")
         ranks = {v: k for k, v in bpe.read_ranks().items()}
