@@ -34,12 +34,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced; ``n_chars`` follows the text."""
     reach_package(spark)
-    return pii.redact(docs).withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    n_chars = F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return pii.redact(docs).withColumn("n_chars", n_chars).select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture has them; copies are repeated rows."""
-    return mixing.mix_sources(docs, columns=docs.columns).drop("copy")
+    return mixing.mix_sources(docs, columns=docs.columns, copy_col=None)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +50,13 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", "source", F.size("tokens").alias("n_tokens"), "tokens", same.alias("round_trip"))
 
 
-STAGES = [("toxicity", drop_toxic), ("near_copies", drop_near_copies), ("pii", redact_pii), ("mixing", mix), ("bpe", tokenize)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_copies", drop_near_copies),
+    ("pii", redact_pii),
+    ("mixing", mix),
+    ("bpe", tokenize),
+]
 
 #: Trained classifiers, the join's groups and merges can't be told in SQL; tests hold the rows against brute force.
 ORACLE_SQL = None

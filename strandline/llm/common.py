@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,10 +18,12 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share.
 
     ``spark.checkpoint.dir`` names it on a cluster; only where that setting is
-    absent (local tests) is a temporary folder of the driver used.
+    absent and all runs in one process (local tests) is a temporary folder used.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + os.path.join(tempfile.gettempdir(), f"strandline-{os.getuid()}")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:

@@ -18,6 +18,7 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,8 @@ from strandline.llm.boosting import Boosted, fit
 
 #: Pages that are read for fitting, by a seeded hash of their id.
 FIT_PAGES, SEED, TOKEN_BUCKETS = 600, 3, 16
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][\w:\-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][\w:\-]*)|[^<]+|<", re.S)
+_PLAIN = re.compile(r"[^>\"']*")
 _ATTR = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "noscript", "template", "textarea")}
@@ -54,6 +56,28 @@ class Node:
         self.size = 1
 
 
+class _Tags:
+    """Ends of a page's tags, each character being read once, save where a quote has no end."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.last = page, {c: page.rfind(c) for c in ">\"'"}
+
+    def end(self, at: int) -> int:
+        """Where the ``>`` of the tag stands whose attributes begin at ``at``; -1 without one."""
+        if at > self.last[">"]:
+            return -1
+        pos = at
+        while (pos := _PLAIN.match(self.page, pos).end()) < len(self.page):
+            c = self.page[pos]
+            if c == ">":
+                return pos
+            if pos >= self.last[c]:
+                break
+            pos = self.page.index(c, pos + 1) + 1
+        # a quote without an end, or with one that leaves no end to the tag, is none
+        return self.page.find(">", at)
+
+
 def parse(page: str) -> list[Node]:
     """Elements in document order; the first is the root, which stands for the page.
 
@@ -62,12 +86,18 @@ def parse(page: str) -> list[Node]:
     """
     root = Node("#root", "", None)
     nodes, top, open_count = [root], root, {}
-    at = 0
+    at, tags = 0, _Tags(page)
     while m := _TOKEN.match(page, at):
         at = m.end()
-        tag = m[2]
+        tag, attrs = m[2], ""
+        if tag is not None:
+            end = tags.end(at)
+            if end < 0:
+                tag, at = None, m.start() + 1
+            else:
+                attrs, at = page[at:end], end + 1
         if tag is None:
-            text = m[0]
+            text = page[m.start() : at]
             if text[0] != "<" or text == "<":
                 if top.tag not in _HEAD and not text.isspace():
                     top.parts.append(text)
@@ -90,7 +120,7 @@ def parse(page: str) -> list[Node]:
         while top.tag in _CLOSES and tag in _CLOSES[top.tag]:
             open_count[top.tag] -= 1
             top = top.parent
-        node = Node(tag, m[3], top)
+        node = Node(tag, attrs, top)
         if tag in _MAIN or (node.attrs and re.search(r"role\s*=\s*[\"']?main", node.attrs, re.I)):
             node.main = True
         top.parts.append(node)
@@ -98,7 +128,7 @@ def parse(page: str) -> list[Node]:
             continue
         top.children.append(node)
         nodes.append(node)
-        if tag not in _VOID and not m[3].endswith("/"):
+        if tag not in _VOID and not attrs.endswith("/"):
             top = node
             open_count[tag] = open_count.get(tag, 0) + 1
     for node in reversed(nodes):
@@ -123,13 +153,14 @@ def features(nodes: list[Node]) -> np.ndarray:
     out = np.zeros((len(nodes), 25 + len(_TAGS) + TOKEN_BUCKETS), np.float32)
     total = max(1, nodes[0].chars)
     number = {id(n): i for i, n in enumerate(nodes)}
+    # siblings by tag, counted once for all of them
+    tags = {id(n): Counter(c.tag for c in n.children) for n in nodes if n.children}
     for i, n in enumerate(nodes):
         p = n.parent or n
         brothers = p.children or [n]
         own = sum(len(x) for x in n.parts if isinstance(x, str))
-        # a place among many siblings is looked up once for all of them
         chars = p.chars or 1
-        same = sum(b.tag == n.tag for b in brothers) if len(brothers) <= 64 else len(brothers)
+        same = tags[id(p)][n.tag] if n.parent else 1
         out[i, :25] = (
             n.depth, np.log1p(n.chars), n.chars / total, n.links / max(1, n.chars), n.size, n.chars / n.size, np.log1p(n.words), n.stops / max(1, n.words), own / max(1, n.chars), len(n.children),
             n.chars / max(1, n.words), len(brothers), n.chars / chars, n.chars * len(brothers) / chars, same, p.links / chars, np.log1p(p.chars), chars / p.size, p.stops / max(1, p.words), i / len(nodes),
@@ -209,9 +240,11 @@ def fit_pages(pages: list[str]) -> Boosted | None:
 
 
 def fit_on(pages: DataFrame, most: int = FIT_PAGES, seed: int = SEED, id_col: str = "page_id", html_col: str = "html") -> Boosted | None:
-    rows = pages.filter(F.col(html_col).isNotNull()).select(id_col, F.xxhash64(F.lit(seed), id_col).alias("h")).orderBy("h", id_col).limit(most).select(F.col(id_col).alias("__page")).distinct()
-    chosen = pages.join(F.broadcast(rows), F.col(id_col) == F.col("__page")).select(id_col, html_col).toArrow().to_pylist()
-    return fit_pages([r[html_col] for r in sorted(chosen, key=lambda r: (r[id_col], r[html_col]))][: 4 * most])
+    """Fit on at most ``most`` pages, the first by a seeded hash; of rows that repeat an id, one is read."""
+    ids = pages.filter(F.col(html_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__page")).distinct()
+    rows = ids.orderBy(F.xxhash64(F.lit(seed), "__page"), "__page").limit(most)
+    chosen = pages.join(F.broadcast(rows), F.col(id_col) == F.col("__page")).groupBy("__page").agg(F.min(html_col).alias("html")).toArrow().to_pylist()
+    return fit_pages([r["html"] for r in sorted(chosen, key=lambda r: r["__page"])])
 
 
 def extract_pages(pages: list[str | None], model: Boosted | None) -> list[tuple[str | None, int, int]]:

@@ -50,11 +50,12 @@ def source_epochs(docs: DataFrame, weights: Mapping[str, float] = WEIGHTS, defau
     return t.select("source", F.col("n").alias("chars"), share.alias("target_chars"), F.when(F.col("n") > 0, share / F.col("n")).otherwise(0.0).alias("epochs"))
 
 
-def mix_sources(docs: DataFrame, weights: Mapping[str, float] = WEIGHTS, default_weight: float = DEFAULT_WEIGHT, max_epochs: float = MAX_EPOCHS, budget: float = BUDGET, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
-    """Rows of ``docs`` as often as the mixture has them, with ``copy`` from 0 on.
+def mix_sources(docs: DataFrame, weights: Mapping[str, float] = WEIGHTS, default_weight: float = DEFAULT_WEIGHT, max_epochs: float = MAX_EPOCHS, budget: float = BUDGET, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", columns: list[str] | None = None, copy_col: str | None = "copy") -> DataFrame:
+    """Rows of ``docs`` as often as the mixture has them, with their number from 0 on in ``copy_col``.
 
-    ``columns`` are those returned besides ``copy`` (id and source unless
-    given).  Repeated rows share a hash and are repeated alike; a null id hashes
+    ``columns`` are those returned besides (id and source unless given); one that
+    is named as ``copy_col`` gives way to it.  Without ``copy_col`` there is no
+    such column.  Repeated rows share a hash and are repeated alike; a null id hashes
     like an empty string; a null or empty text counts no characters but its row
     is sampled like others of its source.  An empty table gives an empty result.
     """
@@ -65,7 +66,7 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] = WEIGHTS, default
     u = F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     times = F.floor("__mix_epochs") + F.when(u < F.col("__mix_epochs") - F.floor("__mix_epochs"), 1).otherwise(0)
     joined = docs.join(F.broadcast(epochs) if few else epochs, F.col(source_col).eqNullSafe(F.col("__mix_source")))
-    return joined.withColumn("__mix_times", times.cast("int")).filter("__mix_times > 0").select(*keep, F.explode(F.expr("sequence(0, __mix_times - 1)")).alias("copy"))
+    return joined.withColumn("__mix_times", times.cast("int")).filter("__mix_times > 0").select(*[c for c in keep if c != copy_col], F.explode(F.expr("sequence(0, __mix_times - 1)")).alias(copy_col or "__mix_copy")).drop("__mix_copy")
 
 
 def sql(weights: Mapping[str, float] = WEIGHTS, default_weight: float = DEFAULT_WEIGHT, max_epochs: float = MAX_EPOCHS, budget: float = BUDGET, seed: int = SEED) -> str:

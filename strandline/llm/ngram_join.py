@@ -64,6 +64,16 @@ def _sets(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray, np.n
     return words, per_text, grams, owner
 
 
+def _distinct_sets(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes, and distinct gram hashes in order of text with the text of each; hashing holds many bytes a character."""
+    parts = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    for s, e in chunks([len(t or "") for t in texts]):
+        words, _, grams, owner = _sets(texts[s:e], n)
+        grams, owner = _distinct(grams, owner)
+        parts.append((words, grams, owner + s))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
 def _six(grams: np.ndarray) -> bytes:
     """The low 48 bits of hashes, as a set of them travels."""
     return grams.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
@@ -116,8 +126,7 @@ def tallied(docs: DataFrame, n: int, t: float, id_col: str, text_col: str) -> Da
         for b in batches:
             ids, texts = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), b.column(1).to_pylist()
             for s, e in chunks([len(t or "") for t in texts], 6_000_000):
-                words, per_text, grams, owner = _sets(texts[s:e], n)
-                own, owner = _distinct(grams, owner)
+                words, own, owner = _distinct_sets(texts[s:e], n)
                 size, fa, fb = _prints(own, owner, e - s)
                 entries += int(_prefix(size, t)[size > 0].sum())
                 w, wc = _tally(words, LOCAL_WORDS)
@@ -283,7 +292,7 @@ def members(own: DataFrame, heavy: tuple, n: int, t: float) -> DataFrame:
         held, total = [], 0
         for b in batches:
             ids, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
-            for s, e in chunks([len(x or "") for x in texts], 3_000_000):
+            for s, e in chunks([len(x or "") for x in texts], 2_000_000):
                 g, o, size = _ordered(texts[s:e], n, table.value)
                 start = np.concatenate(([0], np.cumsum(size)[:-1]))
                 pos = np.arange(len(g)) - start[o]
@@ -487,8 +496,7 @@ def _gathered(own: DataFrame, found: DataFrame, n: int, payload) -> DataFrame:
             b = b.filter(pa.array(seen[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1))
             ids, texts = b.column(0), b.column(1).to_pylist()
             for s, e in chunks([len(x or "") for x in texts], 3_000_000):
-                _, _, grams, owner = _sets(texts[s:e], n)
-                g, o = _distinct(grams, owner)
+                _, g, o = _distinct_sets(texts[s:e], n)
                 cut = np.searchsorted(o, np.arange(e - s + 1))
                 yield pa.RecordBatch.from_arrays([ids.slice(s, e - s), pa.array([payload(g[cut[i] : cut[i + 1]]) for i in range(e - s)], pa.binary())], ["doc_id", "payload"])
 

@@ -28,9 +28,12 @@ EXAMPLES, SEED = 12_000, 11
 KINDS = ("EMAIL", "PHONE", "IP", "CARD", "SSN", "SECRET", "IBAN")
 #: A text without any of these characters has no candidate.
 _GATE = re.compile(r"[@=:]|\d")
+_LOCAL = re.compile(r"[\s@<>()\[\],;:\"|]")
+_DOMAIN = re.compile(r"[^\s@<>()\[\],;:\"|!?*#$%&]+\.[^\W\d_]{2,}")
 _GENERATORS = (
-    ("EMAIL", re.compile(r"[^\s@<>()\[\],;:\"|]+@[^\s@<>()\[\],;:\"|!?*#$%&]+\.[^\W\d_]{2,}")),
     ("PHONE", re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}(?![\w])")),
+    ("PHONE", re.compile(r"(?<![\w.])\+\d{1,3}(?:[ .\-]\d{1,4}){2,7}(?![\w])")),
+    ("IP", re.compile(r"(?<![\w:.])(?:(?:[0-9a-fA-F]{1,4}:){1,6}(?::[0-9a-fA-F]{1,4}){1,6}|::(?:[0-9a-fA-F]{1,4}:){0,6}[0-9a-fA-F]{1,4})(?![\w:])")),
     ("PHONE", re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?!\d)")),
     ("IP", re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)|(?<![\w:])(?:[0-9a-fA-F]{1,4}:){4,7}[0-9a-fA-F]{1,4}(?![\w:])")),
     ("CARD", re.compile(r"(?<![\w.])\d(?:[ \-]?\d){12,18}(?![\w])")),
@@ -61,14 +64,30 @@ class PiiModel:
     thresholds: dict[str, float]
 
 
+def _addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Mail addresses, found from their @ in both directions, so that no run of characters is read twice."""
+    at, least = text.find("@"), 0
+    while at >= 0:
+        start = at
+        while start > least and not _LOCAL.match(text[start - 1]):
+            start -= 1
+        m = _DOMAIN.match(text, at + 1) if start < at else None
+        least = m.end() if m else at + 1
+        if m:
+            yield start, least
+        at = text.find("@", least)
+
+
 def candidates(text: str) -> list[Span]:
     """Every generator's spans; the same place may be proposed as several kinds."""
     if not text or not _GATE.search(text):
         return []
     out = []
+    found = {"EMAIL": list(_addresses(text))}
     for kind, pattern in _GENERATORS:
-        for m in pattern.finditer(text):
-            start, end = m.span(1) if m.lastindex else m.span()
+        found.setdefault(kind, []).extend(m.span(1) if m.lastindex else m.span() for m in pattern.finditer(text))
+    for kind, spans in found.items():
+        for start, end in dict.fromkeys(spans):
             while end - start > 1 and text[end - 1] in ".,;:!?*#$%&'\"":
                 end -= 1
             while kind == "EMAIL" and end - start > 1 and text[start] in "'\"*#$%&!.=":
@@ -125,12 +144,20 @@ def _examples(count: int, seed: int) -> Iterator[tuple[str, list[tuple[int, int,
 
     def phone() -> str:
         a, b, c = dig(3), dig(3), dig(4)
-        return pick([f"+1 ({a}) {b}-{c}", f"+1 ({a}) 555-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+1-{a}-{b}-{c}", f"+1 {a} {b} {c}", f"+{int(rng.integers(20, 99))} {dig(2)} {dig(4)} {dig(4)}", f"{a}.{b}.{c}", f"+{int(rng.integers(20, 99))}{dig(9)}", f"0{dig(3)} {dig(6)}"])
+        return pick([f"+1 ({a}) {b}-{c}", f"+1 ({a}) 555-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+1-{a}-{b}-{c}", f"+1 {a} {b} {c}", f"+{int(rng.integers(20, 99))} {dig(2)} {dig(4)} {dig(4)}", f"{a}.{b}.{c}", f"+{int(rng.integers(20, 99))}{dig(9)}", f"0{dig(3)} {dig(6)}",
+                     f"+{int(rng.integers(20, 99))} {dig(1)} {dig(2)} {dig(2)} {dig(2)} {dig(2)}"])
+
+    def six() -> str:
+        parts = [hexa(int(rng.integers(1, 5))) for _ in range(8)]
+        if rng.random() < 0.5:
+            return ":".join(parts)
+        cut = int(rng.integers(1, 4))
+        return ":".join(parts[:cut]) + "::" + ":".join(parts[8 - int(rng.integers(1, 5)) :])
 
     good = {
         "EMAIL": lambda: f"{low(1, 12)}{pick(['', '.', '_', '-', '+'])}{pick(['', dig(2), low(1, 8)])}".rstrip(".") + f"@{low(2, 9)}{pick(['', dig(1), '-' + low(1, 4)])}.{pick(['com', 'org', 'net', 'example.com', 'co.uk', 'de', 'io', 'fr'])}",
         "PHONE": phone,
-        "IP": lambda: ".".join(octet() for _ in range(4)) if rng.random() < 0.85 else ":".join(hexa(int(rng.integers(1, 5))) for _ in range(8)),
+        "IP": lambda: ".".join(octet() for _ in range(4)) if rng.random() < 0.8 else six(),
         "CARD": card,
         "SSN": lambda: f"{dig(3)}-{dig(2)}-{dig(4)}",
         "SECRET": lambda: pick([hexa(40), hexa(32), hexa(64), base(20), base(32), base(40), "sk_" + base(24), "ghp_" + base(36), "AKIA" + base(16).upper(), low(4, 8) + dig(3) + pick("!$#") + low(1, 4)]),
@@ -146,7 +173,7 @@ def _examples(count: int, seed: int) -> Iterator[tuple[str, list[tuple[int, int,
         lambda: f"{pick(['19', '20'])}{dig(2)}-{pick(['19', '20'])}{dig(2)}", lambda: f"ISBN 978-{dig(1)}-{dig(4)}-{dig(4)}-{dig(1)}", lambda: f"pages {dig(3)}-{dig(3)}", lambda: f"order {dig(8)}", lambda: f"invoice #{dig(4)}-{dig(4)}", lambda: f"0.{dig(8)}", lambda: f"{dig(4)} {dig(3)} {dig(3)} people",
         lambda: f"{dig(3)} {dig(3)} {dig(3)} km", lambda: f"@{low(3, 9)}{dig(2)}", lambda: f"{low(3, 8)} @ {low(3, 8)}", lambda: f"a@b", lambda: f"commit {hexa(40)}", lambda: f"sha256 {hexa(64)}", lambda: f"md5: {hexa(32)}", lambda: f"uuid {hexa(8)}-{hexa(4)}-{hexa(4)}-{hexa(4)}-{hexa(12)}",
         lambda: f"key: {low(6, 12)}", lambda: f"keys: {low(6, 10)} and {low(4, 8)}", lambda: f"the key = {low(6, 11)} idea", lambda: f"{low(6, 9)}-{low(6, 9)}-{low(6, 9)}-{dig(1)}", lambda: f"https://{low(3, 9)}.com/{low(3, 8)}-{low(3, 9)}-{low(4, 9)}-{dig(4)}", lambda: f"section {dig(1)}.{dig(1)}.{dig(1)}.{dig(1)}",
-        lambda: f"{low(3, 6)}_{low(3, 6)}_{low(3, 8)}_{low(3, 6)}_{dig(1)}", lambda: f"{dig(2)} - {dig(2)}", lambda: f"score {dig(2)}-{dig(2)}", lambda: f"part {dig(5)}-{dig(3)}", lambda: f"{dig(4)}", lambda: f"{dig(6)}", lambda: f"{dig(2)}:{dig(2)}", lambda: f"ratio {dig(1)}.{dig(4)}",
+        lambda: f"{low(3, 6)}_{low(3, 6)}_{low(3, 8)}_{low(3, 6)}_{dig(1)}", lambda: f"{dig(2)} - {dig(2)}", lambda: f"score {dig(2)}-{dig(2)}", lambda: f"part {dig(5)}-{dig(3)}", lambda: f"{dig(4)}", lambda: f"{dig(6)}", lambda: f"{dig(2)}:{dig(2)}", lambda: f"{low(2, 7)}::{low(2, 7)}", lambda: f"{pick('abcdef')}::{pick(['dead', 'add', 'fade', low(2, 5)])}", lambda: f"ratio {dig(1)}.{dig(4)}",
     ]
     for _ in range(count):
         words = [low(1, 9) for _ in range(int(rng.integers(2, 14)))]

@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote, unquote_to_bytes
 
 import numpy as np
 import pyarrow as pa
@@ -38,13 +39,11 @@ def record(kind: str, headers: list[tuple[str, str]], block: bytes) -> bytes:
     return b"\r\n".join(lines) + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def _line(value: str) -> str:
-    """A header's value on one line; line ends and the per cent sign are escaped."""
-    return value.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
-
-
-def _unline(value: str) -> str:
-    return value.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
+def _uri(url: str) -> list[tuple[str, str]]:
+    """The header of a url; one with line ends or outer white space is escaped, and a second header says so."""
+    if url == url.strip() and not re.search(r"[\r\n]", url):
+        return [("WARC-Target-URI", url)]
+    return [("WARC-Target-URI", quote(url, safe="/:?#&=", errors="surrogatepass")), ("X-Escaped", "1")]
 
 
 def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -68,7 +67,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
             for b in batches:
                 for i, url, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                     headers = [("WARC-Record-ID", f"<urn:page:{i}>")] if i is not None else []
-                    headers += [("WARC-Target-URI", _line(url))] if url is not None else []
+                    headers += _uri(url) if url is not None else []
                     headers += [("X-No-Payload", "1")] if html is None else [("Content-Type", "application/http; msgtype=response")]
                     data = record("response", headers, _HTTP + (html or "").encode("utf-8", "surrogatepass"))
                     out.write(data)
@@ -163,9 +162,13 @@ def candidates(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
 def reachable(found: DataFrame) -> DataFrame:
     """(path, at): candidates where the chain from a file's start enters a range.
 
-    Jumps double each round, so a file of r ranges takes about log2 r rounds.
+    Jumps double each round, so a file of r ranges takes about log2 r rounds.  A
+    jump is kept only for candidates at which some chain enters a range: the
+    tables grow with ranges, not with records.
     """
-    jumps = found.filter("not last").select("path", "at", F.col("exit").alias("to"))
+    leave = found.filter("not last").select("path", "at", F.col("exit").alias("to"))
+    enter = leave.select("path", F.col("to").alias("at")).distinct()
+    jumps = leave.filter("at = 0").unionByName(leave.filter("at > 0").join(enter, ["path", "at"], "left_semi"))
     exists = found.select("path", F.col("at").alias("to"))
     jumps = stored(jumps.join(exists, ["path", "to"], "left_semi").select("path", "at", "to"), "jumps")
     reached = stored(found.filter("at = 0").select("path", "at").distinct(), "reached")
@@ -189,7 +192,8 @@ def read_warc(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     ``files`` has folder, path and size.  A header that a record lacks is null;
     html is null for records that aren't responses or that have no payload.
     Payload bytes that aren't UTF-8 become replacement characters.  An empty
-    file has no records; no files give an empty result.
+    file has no records; no files give an empty result.  Headers and payloads may
+    have any length that one task's memory holds; repeated rows are so many records.
     """
     entries = reachable(stored(candidates(files, range_bytes), "candidates")).withColumn("start", F.floor(F.col("at") / range_bytes).cast("long") * range_bytes)
     todo = _ranges(files, range_bytes).join(entries.withColumnRenamed("at", "entry"), ["path", "start"]).select("folder", "path", "size", "start", "end", "entry")
@@ -215,7 +219,9 @@ def read_warc(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
                             body = data[block : block + length]
                             html = body.partition(b"\r\n\r\n")[2].decode("utf-8", "replace")
                         url = fields.get("warc-target-uri")
-                        out.append((row["path"], at, kind, int(page[1]) if page else None, None if url is None else _unline(url), html))
+                        if url is not None and "x-escaped" in fields:
+                            url = unquote_to_bytes(url).decode("utf-8", "replace")
+                        out.append((row["path"], at, kind, int(page[1]) if page else None, url, html))
                         held += length
                         at = base + block + length + 4
                         if held > 4 << 20:

@@ -71,7 +71,15 @@ def test_mixing_cases(spark):
     assert mixing.mix_sources(docs(spark, [])).count() == 0
     d = docs(spark, ["ab", None, "", "abcd", "ab"], [None, None, "x", "x", "y"])
     got = mixing.mix_sources(d, columns=d.columns)
-    assert got.columns == [*d.columns, "copy"] and got.count() >= 1
+    assert got.columns == [*d.columns, "copy"]
+    epochs = {r.source: r.epochs for r in mixing.source_epochs(d).collect()}
+    times = {i: sum(r.doc_id == i for r in got.collect()) for i in range(5)}
+    assert all(int(epochs[s]) <= times[i] <= int(epochs[s]) + 1 for i, s in enumerate([None, None, "x", "x", "y"]))
+    # a column of the copies' name gives way to them, or stays where none is asked for
+    e = d.withColumnRenamed("c", "copy")
+    assert mixing.mix_sources(e, columns=e.columns).columns == [c for c in e.columns if c != "copy"] + ["copy"]
+    kept = mixing.mix_sources(e, columns=e.columns, copy_col=None)
+    assert kept.columns == e.columns and {r["copy"] for r in kept.collect()} == {1} and kept.count() == got.count()
 
 
 def test_pii_formats():
@@ -97,6 +105,36 @@ def test_pii_cases(spark):
     assert pii.scan(docs(spark, []), model).count() == 0
 
 
+def test_pii_long_runs():
+    """Unbroken runs are read once, and candidates are what a search from every @ finds."""
+    import re
+    import time
+
+    model, began = pii.fit_model(4000), time.time()
+    for text in ("=" + "x" * 1_000_000, "a." * 300_000 + "@", "@" * 300_000, "a@" * 200_000, "key" + " " * 500_000 + "=", "1 " * 100_000, "x@y" + ".1" * 300_000):
+        pii.candidates(text)
+    assert time.time() - began < 20
+    text = "to (a.b@c.de), x@y.org;q!r@s.co@t.uk 'm@n.net' @x.de u@v"
+    old = re.compile(r"[^\s@<>()\[\],;:\"|]+@[^\s@<>()\[\],;:\"|!?*#$%&]+\.[^\W\d_]{2,}")
+    assert list(pii._addresses(text)) == [m.span() for m in old.finditer(text)]
+    texts = ["host fe80::1ff:fe23:4567:890a up", "client address 2001:db8::1 seen", "call +33 6 12 34 56 78 now"]
+    assert [pii.redacted(t, s) for t, s in zip(texts, pii.find(texts, model))] == ["host [IP] up", "client address [IP] seen", "call [PHONE] now"]
+
+
+def test_pii_brute():
+    """Selected spans by scoring every candidate alone and taking the best, one by one."""
+    model = pii.fit_model(4000)
+    texts = [t for t, _ in pii._examples(300, 5)] + ["", "no data", "a.b1@mail.com a.b1@mail.com 10.0.0.1"]
+    for text, got in zip(texts, pii.find(texts, model)):
+        scored = [(float(model.trees.predict(np.array([pii.features(text, c)]))[0]), c) for c in pii.candidates(text)]
+        left = sorted(((p, c) for p, c in scored if p >= model.thresholds[c.kind]), key=lambda e: (-round(e[0], 2), e[1].start - e[1].end, e[1].start, e[1].kind))
+        taken = []
+        for p, c in left:
+            if all(c.end <= a or b <= c.start for a, b, _, _ in taken):
+                taken.append((c.start, c.end, c.kind, round(p, 6)))
+        assert sorted(taken) == got
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(600, 16)).astype(np.float32)
@@ -223,7 +261,7 @@ def test_warc(spark, tmp_path, range_bytes):
 
 @pytest.mark.parametrize("range_bytes", [5000, 1 << 20])
 def test_warc_long_headers(spark, tmp_path, range_bytes):
-    rows = [(0, "http://a", "x"), (1, "http://u/" + "a" * 100_000, "y"), (2, "%" * 100_000, "z" * 70_000), (3, "http://b", "WARC/1.0\r\n" * 9000), (4, "http://c", None)]
+    rows = [(5, " http://s p/ ", "q"), (6, "\thttp://%20\r\n", ""), (0, "http://a", "x"), (1, "http://u/" + "a" * 100_000, "y"), (2, "%" * 100_000, "z" * 70_000), (3, "http://b", "WARC/1.0\r\n" * 9000), (4, "http://c", None)]
     files = warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), f"file://{tmp_path}/w")
     got = warc.read_warc(files, range_bytes).filter("type = 'response'").select("page_id", "url", "html").collect()
     assert sorted(map(tuple, got), key=repr) == sorted(rows, key=repr)
@@ -247,6 +285,16 @@ def test_html(spark):
     found = {r.page_id: r.text for r in html_text.extract(d, None).collect()}
     assert found[0] is None and found[1] == "" and found[4] == "text only" and found[5] == "deep" and found[7] == "<b> &" and found[3] == "a\nb"
     assert html_text.extract(d, html_text.fit_on(d)).count() == len(odd) and html_text.extract(d.limit(0), model).count() == 0
+    # siblings of one tag are counted among any number
+    many = html_text.parse("<div>" + "<p>a</p><b>c</b>" * 60 + "</div>")
+    assert set(html_text.features(many)[2:, 14]) == {60.0}
+    import time
+
+    began = time.time()
+    for page_ in ("<a b " * 200_000, "<p>" * 100_000 + "x", '<a "' * 150_000, "<a '>\"" * 100_000, "<" * 500_000, "x" * 1_000_000, "<!" * 300_000, "<a class=" + " " * 500_000 + ">t"):
+        html_text.parse(page_)
+    assert time.time() - began < 20
+    assert html_text.text_of(html_text.parse('<a href="x>y">z</a> 1 < 2 <b title="open>u</b>')[:1]) == "z 1 < 2 u"
     # no kept subtree holds another
     nodes = html_text.parse(held[0][0])
     kept = html_text.decode(nodes, np.random.default_rng(0).random(len(nodes)))
