@@ -104,6 +104,36 @@ def id_filter(ids: DataFrame, id_col: str):
     return ids.sparkSession.sparkContext.broadcast(bits.ravel()), _filter_bit
 
 
+#: Copies from which a key is hot, and hot keys at most.
+HOT, MOST_HOT = 10_000, 100_000
+
+
+def join_told(members: DataFrame, told: DataFrame, keys: list[str]) -> DataFrame:
+    """``members`` with what ``told`` (keys, copies, ...) says of their keys; rows without stay out.
+
+    Hot keys are broadcast (``MOST_HOT`` at most), so that no task has all copies
+    of one; the others are joined by shuffle.
+    """
+    hot_from = max(HOT, told.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0] // MOST_HOT)
+    hot, rest = told.filter(F.col("copies") > hot_from).drop("copies"), told.filter(F.col("copies") <= hot_from).drop("copies")
+    cold = members.join(F.broadcast(hot.select(keys)), keys, "left_anti")
+    return members.join(F.broadcast(hot), keys).unionByName(cold.join(rest, keys))
+
+
+def own_prints(prints: DataFrame) -> DataFrame:
+    """``prints`` (doc_id, fa, fb; distinct) with ``own``: 0, or for an id with several prints a number of its own.
+
+    So copies of one content share (fa, fb, own), and an id with several contents
+    shares none of them.
+    """
+    several = stored(prints.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__several")), "several")
+    none = F.lit(0).cast("long")
+    if several.isEmpty():
+        return prints.withColumn("own", none)
+    own = F.when(F.col("__several").isNull(), none).otherwise(F.shiftleft("doc_id", 1).bitwiseOR(F.lit(1)))
+    return prints.join(several, F.col("doc_id") == F.col("__several"), "left").select("doc_id", "fa", "fb", own.alias("own"))
+
+
 def chunks(sizes: list[int], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Consecutive ``(start, end)`` ranges whose sizes add up to about ``limit``.
 

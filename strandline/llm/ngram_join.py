@@ -37,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from strandline.llm.common import chunks, id_filter, most_frequent, shuffle_partitions, stored
+from strandline.llm.common import chunks, id_filter, join_told, most_frequent, own_prints, shuffle_partitions, stored
 from strandline.llm.textgrams import mix, ngram_hashes, word_hashes
 
 N, THRESHOLD = 2, 0.6
@@ -53,8 +53,6 @@ LIST_BLOCK = 256
 RANGE_ENTRIES = 4_000_000
 #: Ids of copies up to which they are broadcast; beyond, they are joined by shuffle.
 BROADCAST_COPIES = 1_000_000
-#: Copies from which a fingerprint is hot, and hot fingerprints at most.
-HOT, MOST_HOT = 10_000, 100_000
 
 
 def _sets(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -561,11 +559,7 @@ class _Join:
         # rows that repeat an id and a set are one; an id with several sets shares its fingerprints with no other
         rows = tallies.filter(F.col("kind") == _DOC).select(F.col("token").alias("doc_id"), "fa", "fb")
         prints = stored(rows.distinct(), "prints")
-        several = stored(prints.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__several")), "several")
-        if several.isEmpty():
-            self.prints = prints.withColumn("own", F.lit(0).cast("long"))
-        else:
-            self.prints = prints.join(several, F.col("doc_id") == F.col("__several"), "left").select("doc_id", "fa", "fb", F.when(F.col("__several").isNull(), F.lit(0).cast("long")).otherwise(F.shiftleft("doc_id", 1).bitwiseOR(F.lit(1))).alias("own"))
+        self.prints = own_prints(prints)
         self.reps = stored(self.prints.groupBy("fa", "fb", "own").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "representatives")
         other = stored(self.prints.join(self.reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti").select(F.col("doc_id").alias("__copy")).distinct(), "copies")
         few = other.limit(BROADCAST_COPIES + 1).count() <= BROADCAST_COPIES
@@ -611,11 +605,7 @@ def similar_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, i
     # only sets that a row may share have anything to tell
     told = reps.filter("copies > 1 or links is not null").select("fa", "fb", "own", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), "copies")
     told = stored(told, "classes")
-    # hot fingerprints are broadcast, so that no task has all copies of one text
-    hot_from = max(HOT, told.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0] // MOST_HOT)
-    hot, rest = told.filter(F.col("copies") > hot_from).drop("copies"), told.filter(F.col("copies") <= hot_from).drop("copies")
-    keys, prints = ["fa", "fb", "own"], join.prints
-    known = prints.join(F.broadcast(hot), keys).unionByName(prints.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(rest, keys))
+    known = join_told(join.prints, told, ["fa", "fb", "own"])
     known = known.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("links").alias("links"))
     ids = docs.select(F.col(id_col).alias("doc_id"))
     every = ids.filter("doc_id is not null").distinct().join(known.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left")

@@ -41,6 +41,8 @@ _GENERATORS = (
     ("SECRET", re.compile(r"(?i:token|key|secret|passw(?:or)?d|pwd|bearer|credential)s?[\"']?\s*[=:]+\s*[\"']?([^\s\"'|,;]{6,})|(?<![\w/+\-])(?=[\w/+\-]*\d)[\w/+\-]{20,}={0,2}(?![\w])")),
     ("IBAN", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
 )
+#: What keys of common services begin with.
+_PREFIX = re.compile(r"AKIA|ASIA|gh[pousr]_|sk[_\-]|xox[abp]-")
 _CUES = tuple(
     re.compile(x, re.I)
     for x in (
@@ -118,7 +120,7 @@ def features(text: str, s: Span) -> list[float]:
         n, len(digits), len(digits) / n, letters / n, len(groups), max(map(len, groups), default=0), min(map(len, groups), default=0),
         float(len(digits) >= 12 and luhn(digits)), float(len(octets) == 4 and v.count(".") == 3 and max(octets) <= 255), v.count("-"), v.count("."), v.count(" "), v.count("("), v.count(":"), v.count("/"),
         float(v[0] == "+"), float("@" in v), float(-(counts * np.log2(counts)).sum()), sum(c in string.hexdigits for c in v) / n, float(any(c.isupper() for c in v) and any(c.islower() for c in v)),
-        float(bool(groups) and groups[0][:2] in ("19", "20") and len(groups[0]) == 4), float(bool(groups) and groups[-1][:2] in ("19", "20") and len(groups[-1]) == 4), float(bool(groups) and len(groups[0]) <= 2), float(v[:3].isalpha()),
+        float(bool(groups) and groups[0][:2] in ("19", "20") and len(groups[0]) == 4), float(bool(groups) and groups[-1][:2] in ("19", "20") and len(groups[-1]) == 4), float(bool(groups) and len(groups[0]) <= 2), float(v[:3].isalpha()), float(bool(_PREFIX.match(v))),
     ]
     edge = [float(before[-1:].isdigit() or after[:1].isdigit()), float(before[-1:] in ("=", '"', "'", ":")), float(before[-1:] in ("$", "€", "£", "#")), float(bool(re.match(r"\s*(?:%|kg|km|cm|mm|USD|EUR|am|pm|years?|pages?)\b", after))), float("://" in before[-24:] + v), float(bool(re.match(r"[.\-]\d", after))), float(bool(re.search(r"\d[.\- ]$", before)))]
     return kind + form + edge + [float(bool(c.search(before[-24:]))) for c in _CUES]
@@ -160,7 +162,7 @@ def _examples(count: int, seed: int) -> Iterator[tuple[str, list[tuple[int, int,
         "IP": lambda: ".".join(octet() for _ in range(4)) if rng.random() < 0.8 else six(),
         "CARD": card,
         "SSN": lambda: f"{dig(3)}-{dig(2)}-{dig(4)}",
-        "SECRET": lambda: pick([hexa(40), hexa(32), hexa(64), base(20), base(32), base(40), "sk_" + base(24), "ghp_" + base(36), "AKIA" + base(16).upper(), low(4, 8) + dig(3) + pick("!$#") + low(1, 4)]),
+        "SECRET": lambda: pick([hexa(40), hexa(32), hexa(64), base(20), base(32), base(40), "sk_" + base(24), "ghp_" + base(36), "AKIA" + base(16).upper(), "AKIA" + base(16).upper(), low(4, 8) + dig(3) + pick("!$#") + low(1, 4)]),
         "IBAN": lambda: pick(["DE", "FR", "GB", "ES"]) + dig(2) + pick(["", " "]).join(["", dig(4), dig(4), dig(4), dig(4), dig(2)]),
     }
     cue = {
@@ -184,7 +186,7 @@ def _examples(count: int, seed: int) -> Iterator[tuple[str, list[tuple[int, int,
         if rng.random() < 0.55:
             kind = pick(KINDS)
             value = good[kind]()
-            lead = pick(cue[kind]) if rng.random() < (0.95 if kind == "SECRET" else 0.4) else ""
+            lead = pick(cue[kind]) if rng.random() < (0.85 if kind == "SECRET" else 0.4) else ""
             close = '"' if lead.endswith('"') else ""
             text = left + lead + value + close + tail + right
             start = len(left + lead)

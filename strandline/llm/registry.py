@@ -28,7 +28,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_embeddings.near_pairs(table(spark, sf_dir, "embeddings"))
+    return near_embeddings.near_classes(table(spark, sf_dir, "embeddings"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

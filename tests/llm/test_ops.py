@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, "tests")
 from oracle import differences  # noqa: E402
-from strandline.llm import bpe, html_text, mixing, near_embeddings, ngram_join, pii, quality, registry, sharding, toxicity, warc  # noqa: E402
+from strandline.llm import bpe, common, html_text, mixing, near_embeddings, ngram_join, pii, quality, registry, sharding, toxicity, warc  # noqa: E402
 
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint, h string, at string, c int"
 
@@ -135,19 +135,39 @@ def test_pii_brute():
         assert sorted(taken) == got
 
 
-def test_embeddings(spark):
+def near_classes_of(x, t, copies=None):
+    """(class, links) of each row by brute force."""
+    u = near_embeddings.unit(x).astype(float)
+    near = u @ u.T >= t
+    np.fill_diagonal(near, False)
+    group = np.arange(len(x))
+    for i, j in zip(*np.nonzero(np.triu(near))):
+        low, high = sorted((group[i], group[j]))
+        group[group == high] = low
+    return group, near.sum(1)
+
+
+@pytest.mark.parametrize("most", [8000, 40])
+def test_embeddings(spark, monkeypatch, most):
+    """Planted copies, dense groups beyond a candidate list, and rows that can have no partner."""
+    monkeypatch.setattr(near_embeddings, "SHARD_MOST", most)
+    monkeypatch.setattr(common, "HOT", 5)
     rng = np.random.default_rng(1)
     x = rng.normal(size=(600, 16)).astype(np.float32)
     x[300:400] = x[:100] + 0.03 * rng.normal(size=(100, 16))
     x[400:410] = x[0]
-    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(None, [1.0] * 16, 0), (700, None, 0), (701, [0.0] * 16, 0), (702, [float("nan")] * 16, 0), (5, x[5].tolist(), 0)]
-    d = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, shard int")
-    got = {(r.a, r.b) for r in near_embeddings.near_pairs(d, 0.9, shard_rows=150).collect()}
-    u = near_embeddings.unit(x).astype(float)
-    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(u @ u.T >= 0.9, 1)))}
-    assert got <= want | {p for p in got if abs(u[p[0]] @ u[p[1]] - 0.9) < 1e-6} and len(got & want) >= 0.95 * len(want)
-    assert near_embeddings.near_pairs(d.limit(0)).count() == 0
-    assert near_embeddings.audit(d, near_embeddings.near_pairs(d, 0.9, shard_rows=150), 0.9, 100).first().recall >= 0.9
+    x[410:560] = x[7] + 0.02 * rng.normal(size=(150, 16))
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(5, x[5].tolist(), 0)]
+    odd = [(None, [1.0] * 16, 0), (700, None, 0), (701, [0.0] * 16, 0), (702, [float("nan")] * 16, 0), (703, [1.0, 2.0], 0), (704, [float("inf")] * 16, 0), (705, [1.0] * 15 + [None], 0), (706, [], 0)]
+    d = spark.createDataFrame(rows + odd, "vec_id bigint, embedding array<float>, shard int")
+    got = {r.vec_id: r for r in near_embeddings.near_classes(d, 0.9, shard_rows=150).collect()}
+    group, links = near_classes_of(x, 0.9)
+    assert len(got) == 608 and sum(got[i].links for i in range(600)) >= 0.99 * links.sum() and all(got[i].links <= links[i] for i in range(600))
+    assert np.mean([got[i].class_id == group[i] for i in range(600)]) >= 0.99 and got[0].recall >= 0.99
+    assert all(got[i].links == 0 and got[i].class_id == i for i in range(700, 707)) and got[None].class_id is None
+    assert near_embeddings.near_classes(d.limit(0)).count() == 0
+    with pytest.raises(TypeError):
+        near_embeddings.near_classes(d.withColumn("vec_id", F.col("vec_id").cast("string")))
 
 
 def test_embeddings_across_shards(spark):
@@ -156,8 +176,8 @@ def test_embeddings_across_shards(spark):
     x, o = (near_embeddings.unit(rng.normal(size=(1000, 64)).astype(np.float32)) for _ in "xo")
     o = near_embeddings.unit(o - (o * x).sum(1, keepdims=True) * x)
     d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.concatenate([x, 0.805 * x + np.sqrt(1 - 0.805**2) * o]))], "vec_id bigint, embedding array<float>")
-    got = {(r.a, r.b) for r in near_embeddings.near_pairs(d, 0.8, shard_rows=60).collect()}
-    assert len(got & {(i, i + 1000) for i in range(1000)}) >= 990
+    got = {r.vec_id: r.class_id for r in near_embeddings.near_classes(d, 0.8, shard_rows=60).collect()}
+    assert sum(got[i + 1000] == i for i in range(1000)) >= 990
 
 
 def test_toxicity(spark):
@@ -352,7 +372,7 @@ def set_of(text, n=2):
 def test_ngram_join(spark, monkeypatch, block):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
     monkeypatch.setattr(ngram_join, "BROADCAST_COPIES", block // 1000)
-    monkeypatch.setattr(ngram_join, "HOT", block // 3)
+    monkeypatch.setattr(common, "HOT", block // 3)
     texts = near_texts()
     d = docs(spark, texts)
     got = {r.doc_id: (r.class_id, r.links) for r in ngram_join.similar_classes(d).collect()}
