@@ -190,14 +190,13 @@ def frequent_words(docs: DataFrame, path: str = VOCABULARY, max_words: int = MAX
     space before it, which no word has.
     """
     words = docs.select(F.explode(F.split(F.col(text_col), " ", -1)).alias("w")).groupBy("w").agg(F.count("*").alias("c"))
-    words = stored(words, "words")
-    whole = most_frequent(words.filter("c > 1"), int(max_words * WORD_SHARE), "w").select("w")
-    rest = words.join(F.broadcast(whole), "w", "left_anti")  # whole has max_words rows at most
+    whole, rest = most_frequent(stored(words, "words").filter("w is not null"), int(max_words * WORD_SHARE), "w")
+    whole = stored(whole.filter("c > 1").select("w"), "words")
     piece = F.explode(_pieces(F.concat(F.lit(" "), "w"))).alias("w")
-    pieces = rest.select(piece, "c").groupBy("w").agg(F.sum("c").alias("c")).withColumn("w", _key(F.col("w")))
-    pieces = pieces.join(F.broadcast(whole), "w", "left_anti")
-    pieces = most_frequent(pieces.filter("c > 1"), max_words - int(max_words * WORD_SHARE), "w").select("w")
-    top = whole.unionByName(pieces).filter("w is not null").distinct().repartition(max(1, docs.sparkSession.sparkContext.defaultParallelism * 2), "w")
+    pieces = rest.select(piece, "c").groupBy("w").agg(F.sum("c").alias("c")).filter("c > 1").withColumn("w", _key(F.col("w")))
+    pieces = stored(pieces.join(whole, "w", "left_anti"), "pieces")
+    pieces = most_frequent(pieces, max_words - int(max_words * WORD_SHARE), "w")[0].select("w")
+    top = whole.unionByName(pieces).repartition(max(1, docs.sparkSession.sparkContext.defaultParallelism * 2), "w")
     text = F.when(F.startswith("w", F.lit(" ")), F.substring("w", 2, 2147483647)).otherwise(F.concat(F.lit(" "), "w"))
     ids = _let(rank_literal(path), lambda t: F.flatten(F.transform(_pieces(text), lambda p: _let(_bytes(p), lambda w: fold_word(t, w)))))
     return top.select(F.col("w").alias("word"), ids.alias("ids"))

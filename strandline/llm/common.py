@@ -56,12 +56,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy() -> None:
+    """Give memory that a task has freed back to the system: a worker lives on beside the executor's heap."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # a C library without it
+        pass
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def most_frequent(counted: DataFrame, most: int, key: str) -> DataFrame:
-    """The rows of ``counted`` of greatest count ``c``, ``most`` or a few more or less.
+def most_frequent(counted: DataFrame, most: int, key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``counted`` of greatest count ``c``, ``most`` or a few more or less, and the rest.
 
     Counts fall into bins of a 16th of a power of 2; of the last bin a share
     by hash of ``key`` is taken, so that neither a sort nor one task sees all rows.
@@ -75,9 +90,10 @@ def most_frequent(counted: DataFrame, most: int, key: str) -> DataFrame:
             break
         total += sizes[last]
     if last is None:
-        return counted
+        return counted, counted
     part = F.pmod(F.xxhash64(key, F.lit(9)), F.lit(1 << 20)) < int(share * (1 << 20))
-    return binned.filter((F.col("__bin") > last) | ((F.col("__bin") == last) & part)).drop("__bin")
+    top = (F.col("__bin") > last) | ((F.col("__bin") == last) & part)
+    return binned.filter(top).drop("__bin"), binned.filter(~top).drop("__bin")
 
 
 #: Bits of the filter that ``id_filter`` makes: 4 MB, whatever the number of ids.

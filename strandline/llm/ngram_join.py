@@ -37,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from strandline.llm.common import chunks, id_filter, join_told, most_frequent, own_prints, shuffle_partitions, stored
+from strandline.llm.common import chunks, id_filter, join_told, most_frequent, own_prints, shuffle_partitions, stored, tidy
 from strandline.llm.textgrams import mix, ngram_hashes, word_hashes
 
 N, THRESHOLD = 2, 0.6
@@ -134,6 +134,7 @@ def tallied(docs: DataFrame, n: int, t: float, id_col: str, text_col: str) -> Da
                 zero = np.zeros(len(w) + len(g), np.int64)
                 columns = (kind, np.concatenate([w.view(np.int64), g.view(np.int64), ids[s:e][some]]), np.concatenate([wc, gc, size[some]]), np.concatenate([zero, fa[some]]), np.concatenate([zero, fb[some]]))
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names)
+        tidy()
         yield pa.RecordBatch.from_arrays([pa.array([_TOTAL], pa.int8()), *(pa.array([x], pa.int64()) for x in (0, entries, 0, 0))], names)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
@@ -145,7 +146,7 @@ def heavy_tokens(tallies: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray
     total = stored(tallies.filter(F.col("kind") < _DOC).groupBy("kind", "token").agg(F.sum("c").alias("c")), "heavy")
     out = []
     for kind, most in ((_WORD, MAX_WORDS), (_GRAM, MAX_GRAMS)):
-        t = most_frequent(total.filter(F.col("kind") == kind), most, "token").select("token", "c").toArrow()
+        t = most_frequent(total.filter(F.col("kind") == kind), most, "token")[0].select("token", "c").toArrow()
         token, c = t["token"].to_numpy().view(np.uint64), t["c"].to_numpy()
         order = np.argsort(token)
         out += [token[order], c[order]]
@@ -302,6 +303,8 @@ def members(own: DataFrame, heavy: tuple, n: int, t: float) -> DataFrame:
                     held, total = [], 0
         if held:
             yield flush(held)
+        del held
+        tidy()
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows of one hash range follow one another; a task may have several ranges
@@ -338,6 +341,8 @@ def members(own: DataFrame, heavy: tuple, n: int, t: float) -> DataFrame:
                 raw.append(size)
         if blobs:
             yield found(blobs, raw)
+        del blobs
+        tidy()
 
     packed = own.mapInArrow(index, "part int, blob binary, n_bytes bigint")
     return packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(lists, "home bigint, doc_id bigint").distinct()
@@ -497,6 +502,7 @@ def _gathered(own: DataFrame, found: DataFrame, n: int, payload) -> DataFrame:
                 _, g, o = _distinct_sets(texts[s:e], n)
                 cut = np.searchsorted(o, np.arange(e - s + 1))
                 yield pa.RecordBatch.from_arrays([ids.slice(s, e - s), pa.array([payload(g[cut[i] : cut[i + 1]]) for i in range(e - s)], pa.binary())], ["doc_id", "payload"])
+        tidy()
 
     sets = own.select("doc_id", "text", bit(F.col("doc_id")).alias("bit")).mapInArrow(gather, "doc_id bigint, payload binary")
     joined = sets.join(per_doc, F.col("doc_id") == F.col("__member"))

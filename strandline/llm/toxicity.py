@@ -33,6 +33,8 @@ import pyarrow as pa
 import zstandard as zs
 from pyspark.sql import DataFrame, functions as F
 
+from strandline.llm.common import tidy
+
 #: Labelled documents that are read for fitting, by a seeded hash of their id.
 MAX_TOXIC, MAX_ORDINARY = 3000, 9000
 ORDINARY_BYTES, TOXIC_BYTES, LEVEL, MIN_MATCH = 65536, 16384, 13, 3
@@ -182,6 +184,8 @@ def fit_on(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_o
             for kind, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 (toxic if kind == 1 else ordinary).append(text)
         m = fit(toxic, ordinary)
+        del toxic, ordinary
+        tidy()
         yield pa.RecordBatch.from_arrays([pa.array([m.ordinary], pa.binary()), pa.array([m.toxic], pa.binary()), pa.array([m.gain]), pa.array([m.share])], ["ordinary", "toxic", "gain", "share"])
 
     one = rows.select(F.xxhash64("doc_id").alias("h"), "doc_id", "toxic", "text").repartition(1).sortWithinPartitions("h", "doc_id").select("toxic", "text")
@@ -231,6 +235,8 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
                 [b.column(0), pa.array([n for _, n in found], pa.int64()), pa.array([k for k, _ in found], pa.int64()), pa.array([model.decide(k, n) for k, n in found], pa.bool_())],
                 ["doc_id", "windows", "toxic_windows", "toxic"],
             )
+        del scorer
+        tidy()
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, windows bigint, toxic_windows bigint, toxic boolean")
 
@@ -250,5 +256,7 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text") ->
             texts = b.column(b.schema.names.index(text_col)).to_pylist()
             found = [x for s, e in chunks([len(t or "") for t in texts]) for x in scorer.count(texts[s:e])]
             yield b.filter(pa.array([not model.decide(k, n) for k, n in found], pa.bool_()))
+        del scorer
+        tidy()
 
     return docs.mapInArrow(run, docs.schema)
