@@ -39,3 +39,24 @@ def under(path: Column, prefix: str) -> Column:
     """Whether ``path`` is ``prefix`` or lies in it, by whole components."""
     p = prefix.rstrip("/")
     return (path == p) | F.startswith(path, F.lit(p + "/"))
+
+
+def absolute(path: Column, root: str) -> Column:
+    """``path`` with forward slashes and without ``./``; a relative one is taken from ``root`` if there is any."""
+    p = F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"(^|/)(\./)+", "$1")
+    return F.when(F.startswith(p, F.lit("/")), p).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), p)) if root else p
+
+
+def label_tokens(label: Column, least: int = 3) -> Column:
+    """Lower-case parts of a label between ``-_.:`` and white space, of at least ``least`` letters, each once."""
+    return F.filter(F.array_distinct(F.split(F.lower(label), r"[-_.:\s]+")), lambda t: F.length(t) >= least)
+
+
+def is_dotted(name: Column) -> Column:
+    return name.rlike(r"^[A-Za-z_]\w*(\.[A-Za-z_]\w*)*$")
+
+
+def prefixes_of(name: Column) -> Column:
+    """The dotted prefixes of a name, the longest first, the name itself left out."""
+    parts = F.split(name, r"\.")
+    return F.when(F.size(parts) > 1, F.transform(F.sequence(F.size(parts) - 1, F.lit(1)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "."))).otherwise(F.array().cast("array<string>"))

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
 
 PLACEHOLDERS = ("external", "unresolved", "")
@@ -68,13 +69,19 @@ def is_placeholder(kind: Column) -> Column:
     return F.coalesce(kind, F.lit("")).isin(*PLACEHOLDERS)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share; where everything runs in one process and none is set, a temporary one."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        path = "file://" + os.path.join(tempfile.gettempdir(), f"strandline-{os.getuid()}")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the folder that executors share and read it back; the plan behind it is gone."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + os.path.join(tempfile.gettempdir(), f"strandline-{os.getuid()}")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

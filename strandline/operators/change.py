@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from strandline.graph import PropertyGraph, leaf
+from strandline.graph import PropertyGraph
+from strandline.operators.lookup import degree_of, god_nodes, uncapped
 from strandline.operators.traverse import layers
 
 
@@ -14,21 +15,55 @@ def detect_changes(g: PropertyGraph, changed_files: DataFrame, max_depth: int =
     return layers(g.edges.filter("type <> 'contains'"), seeds, "in", max_depth).select("id", "depth")
 
 
-def hot_nodes(g: PropertyGraph, changed: DataFrame, top_n: int = 5) -> DataFrame:
-    """Changed nodes of at least the upper median degree."""
-    d = g.degree().join(changed.select("id").distinct(), "id")
-    n = d.withColumn("k", F.expr("row_number() over (order by degree, id)")).withColumn("n", F.expr("count(*) over ()"))
-    median = n.filter(F.expr("k = n div 2 + 1")).select(F.col("degree").alias("median"))
-    return d.crossJoin(F.broadcast(median)).filter("degree >= median").select("id", "degree").orderBy(F.desc("degree"), "id").limit(top_n)
+def upper_median_degree(g: PropertyGraph) -> DataFrame:
+    """One row (median): the degree of the middle node, the upper of two; found by counts of equal degrees."""
+    d = g.nodes.select("id").join(g.degree(), "id", "left").select(F.coalesce("degree", F.lit(0)).alias("degree"))
+    by = d.groupBy("degree").agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(W.orderBy("degree"))
+    t = by.withColumn("upto", upto).withColumn("n", F.sum("c").over(W.partitionBy()))
+    return t.filter("upto > n div 2").agg(F.min("degree").alias("median"))
+
+
+def hot_nodes(g: PropertyGraph, changed: DataFrame, top_n: int = 5, hubs: int = 10) -> DataFrame:
+    """Changed nodes of at least the upper median degree that aren't among the ``hubs`` anyway."""
+    d = degree_of(g, changed).join(changed.select("id").distinct(), "id", "right").fillna(0, ["degree"])
+    d = d.join(g.nodes.select("id"), "id", "left_semi").join(god_nodes(g, hubs).select("id"), "id", "left_anti")
+    found = d.crossJoin(F.broadcast(upper_median_degree(g))).filter("degree >= median").select("id", "degree")
+    return uncapped(found.orderBy(F.desc("degree"), "id"), top_n)
 
 
 def rename(g: PropertyGraph, old: str, new: str, lines: DataFrame | None = None) -> DataFrame:
-    """(where, confidence, before, after): nodes whose last name part is or holds ``old``; of ``lines`` (file_path, line, text) those with it as a word."""
+    """(where, confidence, before, after): nodes whose name holds ``old``; of ``lines`` (file_path, line, text) those with it as a word."""
     import re
 
-    hit = g.nodes.filter(F.contains(F.col("name"), F.lit(old))).select(F.col("id").alias("where"), F.when(leaf(F.col("name")) == old, "exact").otherwise("high").alias("confidence"), F.col("name").alias("before"), F.replace("name", F.lit(old), F.lit(new)).alias("after"))
+    hit = g.nodes.filter(F.contains(F.col("name"), F.lit(old))).select(F.col("id").alias("where"), F.lit("high").alias("confidence"), F.col("name").alias("before"), F.replace("name", F.lit(old), F.lit(new)).alias("after"))
     if lines is None:
         return hit
+    plain = new.replace("\\", "\\\\").replace("$", "\\$")  # neither is special in the new name
     word = rf"\b{re.escape(old)}\b"
-    text = lines.filter(F.col("text").rlike(word)).select(F.concat_ws(":", "file_path", F.col("line").cast("string")).alias("where"), F.lit("medium").alias("confidence"), F.col("text").alias("before"), F.regexp_replace("text", word, new).alias("after"))
+    text = lines.filter(F.col("text").rlike(word)).select(F.concat_ws(":", "file_path", F.col("line").cast("string")).alias("where"), F.lit("medium").alias("confidence"), F.col("text").alias("before"), F.regexp_replace("text", word, plain).alias("after"))
     return hit.unionByName(text)
+
+
+def apply_renames(rows: list[tuple[str, int]], old: str, new: str, dry_run: bool = True) -> list[tuple[str, int, str, str]]:
+    """Rewrite lines (file, line number) of local files, ``old`` as a word; (file, line, before, after) of what changes.
+
+    A driver's tool on a working copy; without ``dry_run=False`` nothing is written.
+    """
+    import re
+
+    by_file: dict[str, set[int]] = {}
+    for path, line in rows:
+        by_file.setdefault(path, set()).add(line)
+    word, out = re.compile(rf"\b{re.escape(old)}\b"), []
+    for path, lines in sorted(by_file.items()):
+        with open(path, encoding="utf-8") as f:
+            text = f.read().splitlines(keepends=True)
+        for k in sorted(lines):
+            if 0 < k <= len(text) and (after := word.sub(lambda _: new, text[k - 1])) != text[k - 1]:
+                out.append((path, k, text[k - 1].rstrip("\n"), after.rstrip("\n")))
+                text[k - 1] = after
+        if not dry_run:
+            with open(path, "w", encoding="utf-8") as f:
+                f.writelines(text)
+    return out

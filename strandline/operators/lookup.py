@@ -12,6 +12,13 @@ def uncapped(df: DataFrame, limit: int) -> DataFrame:
     return df.limit(limit) if limit > 0 else df
 
 
+def degree_of(g: PropertyGraph, ids: DataFrame) -> DataFrame:
+    """(id, degree) of the nodes in ``ids``: edges are filtered by them before they are counted."""
+    few = ids.select("id").distinct()
+    ends = [g.edges.select(F.col(end).alias("id")).join(few, "id", "left_semi") for end in ("source", "target")]
+    return ends[0].unionByName(ends[1]).groupBy("id").agg(F.count("*").alias("degree"))
+
+
 def get_node(g: PropertyGraph, node_id: str) -> DataFrame:
     """The node with its degree; no row if there is none."""
     hit = g.nodes.filter(F.col("id") == node_id)
@@ -32,7 +39,7 @@ def neighbors(g: PropertyGraph, node_id: str, direction: str = "both", edge_type
 def ranked(g: PropertyGraph, rows: DataFrame, id_col: str) -> DataFrame:
     """``rows`` with place, test and degree, by which answers are ordered: placeholders and tests last, hubs first."""
     facts = g.nodes.select(F.col("id").alias(id_col), is_placeholder(F.col("type")).alias("is_placeholder"), F.coalesce("in_test_file", "is_test", F.lit(False)).alias("is_test_tree"))
-    return rows.join(facts, id_col, "left").join(g.degree().withColumnRenamed("id", id_col), id_col, "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    return rows.join(facts, id_col, "left").join(degree_of(g, rows.select(F.col(id_col).alias("id"))).withColumnRenamed("id", id_col), id_col, "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
 
 
 def context(g: PropertyGraph, node_id: str, per_type_limit: int = 25) -> DataFrame:
@@ -42,7 +49,7 @@ def context(g: PropertyGraph, node_id: str, per_type_limit: int = 25) -> DataFra
     order = bucket.orderBy("is_placeholder", "is_test_tree", F.desc("degree"), "neighbor")
     out = rows.withColumn("place", F.row_number().over(order)).withColumn("of", F.count("*").over(bucket))
     out = out.filter(F.col("place") <= per_type_limit) if per_type_limit > 0 else out
-    return out.select("direction", "edge_type", "place", "neighbor", "times", "degree", F.greatest(F.col("of") - per_type_limit, F.lit(0)).cast("long").alias("omitted"))
+    return out.select("direction", "edge_type", "place", "neighbor", "times", "degree", (F.greatest(F.col("of") - per_type_limit, F.lit(0)) if per_type_limit > 0 else F.lit(0)).cast("long").alias("omitted"))
 
 
 def tokens_of(text: str) -> list[str]:
@@ -60,7 +67,7 @@ def search(g: PropertyGraph, text: str, node_types: tuple[str, ...] = (), limit:
         hit = hit & F.contains(hay, F.lit(t))
     n = g.nodes.filter(hit)
     n = n.filter(F.col("type").isin(*node_types)) if node_types else n
-    n = n.join(g.degree(), "id", "left").select("id", "type", "name", F.coalesce("degree", F.lit(0)).alias("degree"))
+    n = n.join(degree_of(g, n), "id", "left").select("id", "type", "name", F.coalesce("degree", F.lit(0)).alias("degree"))
     return uncapped(n.orderBy(F.desc("degree"), "id"), limit)
 
 
@@ -77,9 +84,9 @@ def stats(g: PropertyGraph) -> DataFrame:
     return n.crossJoin(e).crossJoin(pairs).select("nodes", "edges", "loops", (F.col("edges") - F.col("pairs")).alias("parallel"), F.round(density, 9).alias("density"))
 
 
-def god_nodes(g: PropertyGraph, top_n: int = 10) -> DataFrame:
-    """The nodes of highest degree, placeholders and files left out."""
-    real = g.nodes.filter(~is_placeholder(F.col("type")) & (F.col("type") != "file"))
+def god_nodes(g: PropertyGraph, top_n: int = 10, include_placeholders: bool = False) -> DataFrame:
+    """The nodes of highest degree, placeholders left out unless they are asked for."""
+    real = g.nodes if include_placeholders else g.nodes.filter(~is_placeholder(F.col("type")))
     return uncapped(g.degree().join(real.select("id", "type"), "id").select("id", "type", "degree").orderBy(F.desc("degree"), "id"), top_n)
 
 
@@ -103,7 +110,63 @@ def file_brief(g: PropertyGraph, file_path: str) -> DataFrame:
     inside = g.nodes.filter(F.col("file_path") == file_path).select("id", "type")
     ext = g.typed("calls").join(inside.select(F.col("id").alias("target")), "target", "left_semi").join(inside.select(F.col("id").alias("source")), "source", "left_anti").groupBy(F.col("target").alias("id")).agg(F.count_distinct("source").alias("external_callers"))
     eq = g.typed("implements").groupBy(F.col("source").alias("id")).agg(F.count_distinct("target").alias("equations"))
-    return inside.join(g.degree(), "id", "left").join(ext, "id", "left").join(eq, "id", "left").fillna(0, ["degree", "external_callers", "equations"])
+    return inside.join(degree_of(g, inside), "id", "left").join(ext, "id", "left").join(eq, "id", "left").fillna(0, ["degree", "external_callers", "equations"])
+
+
+def brief_summary(g: PropertyGraph, file_path: str) -> DataFrame:
+    """One row on a file: nodes, equations its code implements, declared tests of them, pages that document it, and what its tests claim."""
+    inside = g.nodes.filter(F.col("file_path") == file_path)
+    ids = inside.select("id").distinct()
+    eq = g.typed("implements").join(ids.withColumnRenamed("id", "source"), "source", "left_semi").select(F.col("target").alias("equation")).distinct()
+    tests = g.typed("tests").join(eq.withColumnRenamed("equation", "target"), "target", "left_semi")
+    pages = g.typed("documents", "contains").join(ids.withColumnRenamed("id", "target"), "target", "left_semi").join(g.nodes.filter("type = 'file'").select(F.col("id").alias("source")), "source", "left_semi")
+    by_page = pages.groupBy("source").agg(F.count("*").alias("refs"))
+    claims = inside.filter("is_test")
+    gate = claims.agg(F.count("*").alias("gate_tests"), F.array_join(F.array_sort(F.collect_set("vv_level")), ",").alias("levels"), F.size(F.array_distinct(F.flatten(F.collect_list(F.coalesce("verifies", F.array().cast("array<string>")))))).cast("long").alias("claimed"))
+    caught = g.typed("catches").join(claims.select(F.col("id").alias("source")), "source", "left_semi")
+    parts = (
+        ids.agg(F.count("*").alias("nodes")), eq.agg(F.count("*").alias("equations")), tests.agg(F.count("*").alias("tests")),
+        by_page.agg(F.count("*").alias("pages"), F.min_by("source", F.struct(-F.col("refs"), "source")).alias("first_page")), gate, caught.agg(F.count_distinct("target").alias("caught")),
+    )
+    out = parts[0]
+    for one in parts[1:]:  # one row each
+        out = out.crossJoin(F.broadcast(one))
+    return out
+
+
+def test_facts(g: PropertyGraph) -> DataFrame:
+    """(id, runnable, vv_level, verifies, catches) of test functions and methods; the runnable id is what a runner takes."""
+    stem = F.regexp_extract("file_path", r"([^/]+)\.py$", 1)
+    at = F.expr("instr(concat('.', name), concat('.', __stem, '.'))")
+    rest = F.when((F.col("__stem") != "") & (at > 0), F.expr("substring(name, instr(concat('.', name), concat('.', __stem, '.')) + length(__stem) + 1)")).otherwise(leaf(F.col("name")))
+    t = g.nodes.filter("is_test and type in ('function', 'method')").withColumn("__stem", F.coalesce(stem, F.lit("")))
+    runnable = F.when(F.col("file_path").isNotNull(), F.concat("file_path", F.lit("::"), F.replace(rest, F.lit("."), F.lit("::"))))
+    none = F.array().cast("array<string>")
+    return t.select("id", runnable.alias("runnable"), "vv_level", F.array_join(F.coalesce("verifies", none), ",").alias("verifies"), F.array_join(F.coalesce("catches", none), ",").alias("catches"))
+
+
+def ranked_neighbors(g: PropertyGraph, node_id: str, direction: str = "both", edge_types: tuple[str, ...] = (), limit: int = 0, offset: int = 0) -> DataFrame:
+    """``neighbors`` in the order of answers, with place and total: placeholders last, tests last unless a test asks, hubs first."""
+    rows = ranked(g, neighbors(g, node_id, direction, edge_types), "neighbor")
+    asks = g.nodes.filter(F.col("id") == node_id).agg(F.coalesce(F.max(F.coalesce("in_test_file", "is_test")), F.lit(False)).alias("__asks"))
+    rows = rows.crossJoin(F.broadcast(asks)).withColumn("is_test_tree", F.col("is_test_tree") & ~F.col("__asks"))
+    order = ["is_placeholder", "is_test_tree", F.desc("degree"), "neighbor", "edge_type", "direction"]
+    return page(rows.select("neighbor", "edge_type", "direction", "times", "degree", "is_placeholder", "is_test_tree"), order, limit, offset).drop("is_placeholder", "is_test_tree")
+
+
+def page(rows: DataFrame, order: list, limit: int, offset: int = 0) -> DataFrame:
+    """``limit`` rows (0 or less: all) after ``offset`` in ``order``, each with the ``total`` of all rows."""
+    total = rows.agg(F.count("*").alias("total"))
+    some = rows.orderBy(*order).offset(offset) if offset else rows.orderBy(*order)
+    return uncapped(some, limit).crossJoin(F.broadcast(total))
+
+
+def callers_with_blind_spots(g: PropertyGraph, node_id: str) -> DataFrame:
+    """(id, kind, calls): a node's direct callers, and calls of placeholders that have its last name."""
+    own = g.nodes.filter(F.col("id") == node_id).select(leaf(F.col("name")).alias("leaf"))
+    direct = g.typed("calls").filter(F.col("target") == node_id).groupBy(F.col("source").alias("id")).agg(F.count("*").alias("calls")).withColumn("kind", F.lit("caller"))
+    blind = unresolved_callers(g).join(own, "leaf").select(F.col("spellings").alias("id"), F.lit("unresolved").alias("kind"), "calls")
+    return direct.select("id", "kind", "calls").unionByName(blind)
 
 
 def bind_lines(definitions: DataFrame, lines: DataFrame, window: int = 8) -> DataFrame:

@@ -75,19 +75,35 @@ def shortest_path(g: PropertyGraph, a: str, b: str, max_hops: int = 8) -> DataFr
     return path.select("hop", "id")
 
 
+def path_edges(g: PropertyGraph, path: DataFrame) -> DataFrame:
+    """(hop, source, target, type) of the edges along ``path`` (hop, id): the forward one before the backward one, then by type."""
+    step = path.select("hop", F.col("id").alias("a")).join(path.select((F.col("hop") - 1).alias("hop"), F.col("id").alias("b")), "hop")
+    fwd = step.join(g.edges, (F.col("source") == F.col("a")) & (F.col("target") == F.col("b"))).withColumn("back", F.lit(0))
+    back = step.join(g.edges, (F.col("source") == F.col("b")) & (F.col("target") == F.col("a"))).withColumn("back", F.lit(1))
+    both = fwd.unionByName(back).groupBy("hop").agg(F.min(F.struct("back", "type", "source", "target")).alias("e"))
+    return both.select("hop", "e.source", "e.target", "e.type")
+
+
 def components(g: PropertyGraph) -> DataFrame:
-    """(id, component): the least id of each weakly connected component."""
-    both = cut(arcs(g.edges, "both"))
-    label = cut(g.nodes.select("id", F.col("id").alias("component")))
+    """(id, component): the least id of each weakly connected component.
+
+    Large-star and small-star steps in turn: each links a node's greater, then its
+    lesser neighbours to the least, until all hang on one; a hub's links are
+    aggregated before they are joined.
+    """
+    e = cut(arcs(g.edges, "both").filter("frm > to"))
     while True:
-        # neighbours' least label, then the label's own label: paths halve every round
-        near = both.join(label.select(F.col("id").alias("to"), "component"), "to").groupBy(F.col("frm").alias("id")).agg(F.min("component").alias("n"))
-        low = label.join(near, "id", "left").select("id", "component", F.least("component", F.coalesce("n", "component")).alias("low"))
-        jump = low.select(F.col("id").alias("low"), F.col("low").alias("lower"))
-        new = cut(low.join(jump, "low", "left").select("id", F.least("low", F.coalesce("lower", "low")).alias("component"), (F.least("low", F.coalesce("lower", "low")) != F.col("component")).alias("moved")))
-        label = new.select("id", "component")
-        if new.filter("moved").isEmpty():
-            return label
+        both = e.unionByName(e.select(F.col("to").alias("frm"), F.col("frm").alias("to")))
+        low = both.groupBy("frm").agg(F.min("to").alias("m")).withColumn("m", F.least("frm", "m"))
+        large = both.join(low, "frm").filter("to > frm").select(F.col("to").alias("frm"), F.col("m").alias("to")).distinct()
+        least = large.groupBy("frm").agg(F.min("to").alias("m"))
+        small = large.join(least, "frm").select(F.when(F.col("to") == F.col("m"), F.col("frm")).otherwise(F.col("to")).alias("frm"), F.col("m").alias("to"))
+        new = cut(small.filter("frm <> to").distinct())
+        centre = new.select(F.col("frm").alias("to"))
+        if new.groupBy("frm").count().filter("count > 1").isEmpty() and new.join(centre, "to", "left_semi").isEmpty():
+            break
+        e = new
+    return g.nodes.select("id").join(new.withColumnRenamed("frm", "id"), "id", "left").select("id", F.coalesce("to", "id").alias("component"))
 
 
 def closure(edges: DataFrame) -> DataFrame:

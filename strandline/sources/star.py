@@ -35,6 +35,7 @@ def graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
         nodes(part.select("p_brand").distinct(), _id("math:equation:", "p_brand"), "equation", F.col("p_brand")),
         nodes(part.select("p_type").distinct(), _id("item:tag:", "p_type"), "tag", F.col("p_type")),
         nodes(orders.select("o_orderpriority").distinct(), _id("vv:error:", "o_orderpriority"), "error", F.col("o_orderpriority")),
+        nodes(t("events").filter("event_type is not null").select("event_type").distinct(), _id("vv:error:event.", "event_type"), "error", F.col("event_type")),
     ):
         n = n.unionByName(more)
 
@@ -64,6 +65,47 @@ def graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     return PropertyGraph.of(n, e, {"root": sf_dir})
 
 
+def _typed(df: DataFrame, source: Column, target: Column, kind: str) -> DataFrame:
+    return df.select(source.alias("source"), target.alias("target"), F.lit(kind).alias("type"))
+
+
+def basket_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """Orders as classes, the parts in them as methods: an order conforms to another if it holds all of its parts."""
+    held = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    cls, method = _id("sale:class:", "l_orderkey"), _id("sale:method:", "l_orderkey", "l_partkey")
+    n = held.select("l_orderkey").distinct().select(cls.alias("id"), F.lit("class").alias("type"), F.col("l_orderkey").cast("string").alias("name"))
+    n = n.unionByName(held.select(method.alias("id"), F.lit("method").alias("type"), F.concat_ws(".", "l_orderkey", "l_partkey").alias("name")))
+    return PropertyGraph.of(n, _typed(held, cls, method, "contains"))
+
+
+def offer_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """Customers as classes, their orders as methods, which call offers (part and supplier) as functions; a fifth of customers are tests."""
+    orders, line = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    cls, method, fn = _id("py:class:", "o_custkey"), _id("py:method:", "o_orderkey"), _id("py:function:", "l_partkey", "l_suppkey")
+    test = F.expr("o_custkey % 5 = 0")
+    n = orders.select("o_custkey").distinct().select(cls.alias("id"), F.lit("class").alias("type"), F.expr("concat('m', o_custkey % 7, '.C', o_custkey)").alias("name"), F.lit(False).alias("is_test"))
+    n = n.unionByName(orders.select(method.alias("id"), F.lit("method").alias("type"), F.col("o_orderkey").cast("string").alias("name"), test.alias("is_test")))
+    offers = line.select("l_partkey", "l_suppkey").distinct()
+    n = n.unionByName(offers.select(fn.alias("id"), F.lit("function").alias("type"), F.expr("concat('m', l_partkey % 7, '.', if(l_suppkey % 3 = 0, '_f', 'f'), l_partkey)").alias("name"), F.lit(False).alias("is_test")))
+    e = _typed(orders, cls, method, "contains").unionByName(_typed(line, _id("py:method:", "l_orderkey"), fn, "calls"))
+    return PropertyGraph.of(n, e)
+
+
+def page_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """Web pages as modules by their path, and what they link to; a link that no page answers to is a placeholder."""
+    pages = table(spark, sf_dir, "pages")
+    path = F.regexp_extract("url", "^[a-z]+://[^/]+(/[^?#]*)", 1)
+    link = F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)))
+    own = pages.filter(path != "").select(path.alias("path")).distinct()
+    links = pages.select("page_id", link.alias("path"))
+    missing = links.select("path").distinct().join(own, "path", "left_anti")
+    target = F.concat(F.lit("py:page:site."), "path")
+    n = own.select(target.alias("id"), F.lit("module").alias("type"), F.concat(F.lit("site."), "path").alias("name"))
+    n = n.unionByName(missing.select(target.alias("id"), F.lit("unresolved").alias("type"), F.concat(F.lit("site."), "path").alias("name")))
+    n = n.unionByName(pages.select("page_id").distinct().select(_id("doc:file:", "page_id").alias("id"), F.lit("file").alias("type"), F.col("page_id").cast("string").alias("name")))
+    return PropertyGraph.of(n, links.select(_id("doc:file:", "page_id").alias("source"), target.alias("target"), F.lit("references").alias("type")))
+
+
 #: The same graph in DuckDB, as the head of a WITH clause.
 SQL = """
 sold AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem),
@@ -77,7 +119,8 @@ nodes AS (
   UNION ALL SELECT 'sale:order:' || o_orderkey, 'order', 'order.' || o_orderkey, false, NULL FROM orders
   UNION ALL SELECT DISTINCT 'math:equation:' || p_brand, 'equation', p_brand, false, NULL FROM part
   UNION ALL SELECT DISTINCT 'item:tag:' || p_type, 'tag', p_type, false, NULL FROM part
-  UNION ALL SELECT DISTINCT 'vv:error:' || o_orderpriority, 'error', o_orderpriority, false, NULL FROM orders),
+  UNION ALL SELECT DISTINCT 'vv:error:' || o_orderpriority, 'error', o_orderpriority, false, NULL FROM orders
+  UNION ALL SELECT DISTINCT 'vv:error:event.' || event_type, 'error', event_type, false, NULL FROM events WHERE event_type IS NOT NULL),
 edges AS (
   SELECT 'geo:file:' || n_regionkey AS source, 'geo:module:' || n_nationkey AS target, 'contains' AS type, NULL AS evidence FROM nation
   UNION ALL SELECT 'geo:module:' || s_nationkey, 'sup:class:' || s_suppkey, 'contains', NULL FROM supplier
