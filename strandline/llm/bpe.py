@@ -25,7 +25,7 @@ import base64
 import json
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from strandline.llm.common import most_frequent, stored
 
@@ -75,12 +75,12 @@ def _rank_json(path: str) -> str:
     return json.dumps(buckets)
 
 
-def rank_literal(path: str = VOCABULARY) -> Column:
-    """The rank map as a foldable expression, so that plans hold it as a literal.
+def rank_table(spark: SparkSession, path: str = VOCABULARY) -> Column:
+    """The literal rank map, as one value of a plan of its own: tasks get its bytes, not a plan full of objects.
 
     It is cut into buckets by hash, because a map's keys are searched in order.
     """
-    return F.from_json(F.lit(_rank_json(path)), "array<map<string,int>>")
+    return spark.range(1).select(F.from_json(F.lit(_rank_json(path)), "array<map<string,int>>").alias("t")).scalar()
 
 
 def _let(value: Column, body) -> Column:
@@ -198,8 +198,8 @@ def frequent_words(docs: DataFrame, path: str = VOCABULARY, max_words: int = MAX
     pieces = most_frequent(pieces, max_words - int(max_words * WORD_SHARE), "w")[0].select("w")
     top = whole.unionByName(pieces).repartition(max(1, docs.sparkSession.sparkContext.defaultParallelism * 2), "w")
     text = F.when(F.startswith("w", F.lit(" ")), F.substring("w", 2, 2147483647)).otherwise(F.concat(F.lit(" "), "w"))
-    ids = _let(rank_literal(path), lambda t: F.flatten(F.transform(_pieces(text), lambda p: _let(_bytes(p), lambda w: fold_word(t, w)))))
-    return top.select(F.col("w").alias("word"), ids.alias("ids"))
+    ids = _let(F.col("__ranks"), lambda t: F.flatten(F.transform(_pieces(text), lambda p: _let(_bytes(p), lambda w: fold_word(t, w)))))
+    return top.withColumn("__ranks", rank_table(docs.sparkSession, path)).select(F.col("w").alias("word"), ids.alias("ids"))
 
 
 def _key(piece: Column) -> Column:
@@ -242,8 +242,9 @@ def encode(docs: DataFrame, path: str = VOCABULARY, max_words: int = MAX_WORDS,
 
     words = _word_table(frequent_words(docs, path, max_words, text_col))
     # A subquery may not stand inside a lambda; named once and used once, it is put back there by the optimizer.
-    ids = _let(F.struct(rank_literal(path).alias("t"), F.col("__bpe_words").alias("w")), lambda x: encoded(x["t"], x["w"]))
-    return docs.withColumn("__bpe_words", words).withColumn(tokens_col, F.when(text.isNotNull(), ids)).drop("__bpe_words")
+    ids = _let(F.struct(F.col("__bpe_ranks").alias("t"), F.col("__bpe_words").alias("w")), lambda x: encoded(x["t"], x["w"]))
+    tables = docs.withColumns({"__bpe_ranks": rank_table(docs.sparkSession, path), "__bpe_words": words})
+    return tables.withColumn(tokens_col, F.when(text.isNotNull(), ids)).drop("__bpe_words", "__bpe_ranks")
 
 
 @lru_cache(maxsize=4)

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from strandline.llm.boosting import Boosted, fit
+from strandline.llm.common import tidy
 
 #: Pages that are read for fitting, by a seeded hash of their id.
 FIT_PAGES, SEED, TOKEN_BUCKETS = 600, 3, 16
@@ -244,7 +245,10 @@ def fit_on(pages: DataFrame, most: int = FIT_PAGES, seed: int = SEED, id_col: st
     ids = pages.filter(F.col(html_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__page")).distinct()
     rows = ids.orderBy(F.xxhash64(F.lit(seed), "__page"), "__page").limit(most)
     chosen = pages.join(F.broadcast(rows), F.col(id_col) == F.col("__page")).groupBy("__page").agg(F.min(html_col).alias("html")).toArrow().to_pylist()
-    return fit_pages([r["html"] for r in sorted(chosen, key=lambda r: r["__page"])])
+    model = fit_pages([r["html"] for r in sorted(chosen, key=lambda r: r["__page"])])
+    del chosen
+    tidy()
+    return model
 
 
 def extract_pages(pages: list[str | None], model: Boosted | None) -> list[tuple[str | None, int, int]]:

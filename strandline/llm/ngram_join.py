@@ -150,6 +150,7 @@ def heavy_tokens(tallies: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray
         token, c = t["token"].to_numpy().view(np.uint64), t["c"].to_numpy()
         order = np.argsort(token)
         out += [token[order], c[order]]
+    tidy()
     entries = sum(r["c"] for r in total.filter(F.col("kind") == _TOTAL).collect())
     return (*out, entries)
 

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from strandline.llm.boosting import Boosted, fit
+from strandline.llm.common import tidy
 
 EXAMPLES, SEED = 12_000, 11
 KINDS = ("EMAIL", "PHONE", "IP", "CARD", "SSN", "SECRET", "IBAN")
@@ -232,6 +233,8 @@ def fit_model(examples: int = EXAMPLES, seed: int = SEED) -> PiiModel:
         f2 = np.array([5 * (h & (z > 0)).sum() / max(1, 4 * (z > 0).sum() + h.sum()) for h in hit])
         best = np.flatnonzero(f2 >= f2.max() - 1e-9)
         out[kind] = float(grid[best[len(best) // 2]])
+    del x, y, hx, hy
+    tidy()
     return PiiModel(trees, out)
 
 
