@@ -1,55 +1,40 @@
-"""Byte-level BPE encoding and decoding inside the JVM.
-
-A vocabulary's ranks become a literal map, cut into buckets by hash, so that a
-rank is found without scanning all keys.  A word is split
-into its bytes, and a fold merges the adjacent pair of lowest rank (the leftmost
-of equals) until no pair has a rank; only the two ranks beside a merge are looked
-up anew.  Decoding concatenates the byte strings of the ids.
-
-Distinct words of the corpus are counted first.  The most frequent ones, and the
-most frequent pieces that the others are made of, are folded once each
-(``MAX_WORDS`` in all); their ids travel to the tasks as one array of bounded
-size, whatever the corpus.  A piece beyond it is folded where it stands, by the
-same expression, so no text is shuffled and the result doesn't depend on what
-the table holds.  Which ones are frequent is decided by a histogram of counts,
-not by sorting words in one task.
-
-Words end where the vocabulary's pattern splits.  Where no two white-space
-characters meet, that is also where single spaces stand, which is cheaper to
-find; other texts are split by the pattern as a whole.
+"""Byte-level BPE encoding in Python workers, decoding inside the JVM.
+
+A word is split into its bytes, and a fold merges the adjacent pair of lowest
+rank (the leftmost of equals) until no pair has a rank.  Each worker folds the
+words it meets, those of one length together, and holds the ids of a bounded
+number of them (``MAX_WORDS``) across its tasks (see ``bpe_fold``).  So no text
+is shuffled, the driver holds nothing but the vocabulary's file, and the result
+doesn't depend on what a worker holds.
+
+Decoding concatenates the byte strings of the ids.
 """
 
 from __future__ import annotations
 
-import base64
 import json
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from strandline.llm.common import most_frequent, stored
+from strandline.llm.bpe_fold import Encoder, parse_ranks
+from strandline.llm.common import chunks, reach_package
 
 #: Where the vocabulary lies; a parameter of every function here.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-MAX_WORDS, WORD_BUCKETS, RANK_BUCKETS = 1 << 19, 1 << 17, 1 << 15
-#: Share of the table that whole words have; the rest is for pieces of other words.
-WORD_SHARE = 0.75
-#: (?U): white space as Unicode has it.
-PATTERN = r"(?U)'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Rank of what isn't a token; it has 17 bits and one.
-_NONE = 1 << 17
-#: Bytes of a word up to which its fold keeps each pair as one number; longer ones are folded over arrays.
-SHORT = 64
+#: Chunks of text whose ids a worker holds.
+MAX_WORDS = 1 << 19
 
 
 @lru_cache(maxsize=4)
 def read_ranks(path: str = VOCABULARY) -> dict[bytes, int]:
     with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        return parse_ranks(f.read())
 
 
 def _murmur(data: bytes, seed: int = 42) -> int:
-    """The engine's ``hash`` of a string with these UTF-8 bytes, without sign."""
+    """The engine's ``hash`` of a string with these UTF-8 bytes, without sign; encoding no longer needs it."""
     mask = 0xFFFFFFFF
 
     def turn(x: int, r: int) -> int:
@@ -65,186 +50,51 @@ def _murmur(data: bytes, seed: int = 42) -> int:
     return h ^ h >> 16
 
 
-@lru_cache(maxsize=4)
-def _rank_json(path: str) -> str:
-    buckets: list[dict[str, int] | None] = [None] * RANK_BUCKETS
-    for piece, rank in read_ranks(path).items():
-        key = piece.decode("latin-1")
-        at = _murmur(key.encode()) % RANK_BUCKETS
-        buckets[at] = {**(buckets[at] or {}), key: rank}
-    return json.dumps(buckets)
-
-
-def rank_table(spark: SparkSession, path: str = VOCABULARY) -> Column:
-    """The literal rank map, as one value of a plan of its own: tasks get its bytes, not a plan full of objects.
-
-    It is cut into buckets by hash, because a map's keys are searched in order.
-    """
-    return spark.range(1).select(F.from_json(F.lit(_rank_json(path)), "array<map<string,int>>").alias("t")).scalar()
-
-
 def _let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once: a fold over nothing that ends in ``body``."""
     return F.aggregate(F.array().cast("array<int>"), value, lambda held, _: held, body)
 
 
-def _bytes(word: Column) -> Column:
-    """The bytes of a string as one character each."""
-    return F.decode(word.cast("binary"), "ISO-8859-1")
-
-
-def _find(table: Column, piece: Column) -> Column:
-    """The rank of ``piece``, null if it isn't a token."""
-    return F.element_at(F.get(table, F.hash(piece).bitwiseAND(F.lit(RANK_BUCKETS - 1))), piece)
-
-
-def _rank(table: Column, piece: Column) -> Column:
-    return F.coalesce(_find(table, piece), F.lit(_NONE))
-
-
-def _fold_short(table: Column, word: Column) -> Column:
-    """The fold of a word of at most ``SHORT`` bytes.
-
-    Its state is an array of adjacent pairs, each a number of rank, start, middle
-    and end: the least is the leftmost of lowest rank.  A merge takes it out and
-    widens the two pairs beside it.
-    """
-    shift = lambda c, by: F.call_function("shiftleft", c, F.lit(by))
-    part = lambda c, by: F.call_function("shiftright", c, F.lit(by)).bitwiseAND(F.lit(0x7FFF)).cast("int")
-    start, middle, end = (lambda y: part(y, 30)), (lambda y: part(y, 15)), (lambda y: y.bitwiseAND(F.lit(0x7FFF)).cast("int"))
-
-    def pair(s: Column, m: Column, e: Column) -> Column:
-        rank = _rank(table, F.substring(word, s, e - s)).cast("bigint")
-        return shift(rank, 45).bitwiseOR(shift(s.cast("bigint"), 30)).bitwiseOR(shift(m, 15)).bitwiseOR(e)
-
-    def merge(pairs: Column, _: Column) -> Column:
-        def at(x: Column) -> Column:
-            def widened(s: Column, e: Column) -> Column:
-                return F.transform(F.array_remove(pairs, x), lambda y: F.when(middle(y) == s, pair(start(y), s, e)).when(start(y) == middle(x), pair(s, e, end(y))).otherwise(y))
-
-            return F.when(x >= F.lit(_NONE << 45), pairs).otherwise(_let(start(x), lambda s: _let(end(x), lambda e: widened(s, e))))
-
-        return _let(F.array_min(pairs), at)
-
-    def ids(pairs: Column) -> Column:
-        def last(y: Column) -> Column:
-            return F.array(_find(table, F.substring(word, middle(y), end(y) - middle(y))))
-
-        return F.concat(F.transform(pairs, lambda y: _find(table, F.substring(word, start(y), middle(y) - start(y)))), _let(F.element_at(pairs, -1), last))
-
-    n = F.length(word)
-    return F.aggregate(F.sequence(F.lit(1), n - 1), F.transform(F.sequence(F.lit(1), n - 1), lambda i: pair(i, i + 1, i + 2)), merge, ids)
+@lru_cache(maxsize=1)
+def _encoder(vocabulary: bytes, max_words: int) -> Encoder:
+    """A worker's own; it lives on from task to task."""
+    return Encoder(vocabulary, max_words)
 
 
-def _fold_long(table: Column, word: Column) -> Column:
-    """The fold of a longer word.
-
-    Its state is the pieces' boundaries in the word, the ranks of adjacent
-    pairs, and which pair is next (0: none); a merge takes out one boundary.
-    """
-    n = F.length(word)
-    none = F.array().cast("array<int>")
-    span = lambda start, end: _rank(table, F.substring(word, start, end - start))
-
-    def best(b: Column, r: Column) -> Column:
-        at = _let(F.array_min(r), lambda x: F.when(x < _NONE, F.array_position(r, x).cast("int")))
-        return F.struct(b.alias("b"), r.alias("r"), F.coalesce(at, F.lit(0)).alias("k"))
-
-    def merge(s: Column, _: Column) -> Column:
-        r, k = s["r"], s["k"]
-
-        def merged(b: Column) -> Column:
-            left = F.when(k > 1, F.array(span(F.get(b, k - 2), F.get(b, k)))).otherwise(none)
-            right = F.when(k + 1 < F.size(b), F.array(span(F.get(b, k - 1), F.get(b, k + 1)))).otherwise(none)
-            ranks = F.concat(F.slice(r, F.lit(1), F.greatest(k - 2, F.lit(0))), left, right, F.slice(r, k + 2, n))
-            return _let(ranks, lambda q: best(b, q))
-
-        return F.when(k == 0, s).otherwise(_let(F.array_remove(s["b"], F.get(s["b"], k)), merged))
-
-    def ids(s: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(s["b"]) - 1), lambda i: span(F.get(s["b"], i - 1), F.get(s["b"], i)))
-
-    pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: _rank(table, F.substring(word, i, F.lit(2))))
-    return _let(pairs, lambda p: F.aggregate(F.sequence(F.lit(1), n - 1), best(F.sequence(F.lit(1), n + 1), p), merge, ids))
-
-
-def fold_word(table: Column, word: Column) -> Column:
-    """Ids of one word (a character for each byte) under the rank map ``table``.
-
-    A word that is a token needs no merges: every token is what its own merges make.
-    """
-    n = F.length(word)
-    folded = F.when(n > SHORT, _fold_long(table, word)).when(n > 1, _fold_short(table, word)).otherwise(F.array().cast("array<int>"))
-    return _let(_find(table, word), lambda w: F.when(w.isNotNull(), F.array(w)).otherwise(folded))
+def _encode_array(texts: pa.Array, encoder: Encoder) -> pa.Array:
+    """Ids of an array of UTF-8 bytes; bytes that aren't UTF-8 are kept as they are."""
+    found: list[bytes] = []
+    own = [None if t is None else t.decode("utf-8", "surrogateescape") for t in texts.to_pylist()]
+    for s, e in chunks([len(t or "") for t in own]):
+        found += encoder.encode([t or "" for t in own[s:e]])
+    ends = [0]
+    for ids in found:
+        ends.append(ends[-1] + len(ids) // 4)
+    values = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(found))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=pa.array([t is None for t in own], pa.bool_()))
 
 
-def _pieces(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
-
-
-def frequent_words(docs: DataFrame, path: str = VOCABULARY, max_words: int = MAX_WORDS, text_col: str = "text") -> DataFrame:
-    """(word, ids) of the most frequent space-separated words and of pieces of the others.
-
-    A word's ids are those of a space and the word; so are those of a piece that
-    begins with a space, without which it stands here.  Another piece has a
-    space before it, which no word has.
-    """
-    words = docs.select(F.explode(F.split(F.col(text_col), " ", -1)).alias("w")).groupBy("w").agg(F.count("*").alias("c"))
-    whole, rest = most_frequent(stored(words, "words").filter("w is not null"), int(max_words * WORD_SHARE), "w")
-    whole = stored(whole.filter("c > 1").select("w"), "words")
-    piece = F.explode(_pieces(F.concat(F.lit(" "), "w"))).alias("w")
-    pieces = rest.select(piece, "c").groupBy("w").agg(F.sum("c").alias("c")).filter("c > 1").withColumn("w", _key(F.col("w")))
-    pieces = stored(pieces.join(whole, "w", "left_anti"), "pieces")
-    pieces = most_frequent(pieces, max_words - int(max_words * WORD_SHARE), "w")[0].select("w")
-    top = whole.unionByName(pieces).repartition(max(1, docs.sparkSession.sparkContext.defaultParallelism * 2), "w")
-    text = F.when(F.startswith("w", F.lit(" ")), F.substring("w", 2, 2147483647)).otherwise(F.concat(F.lit(" "), "w"))
-    ids = _let(F.col("__ranks"), lambda t: F.flatten(F.transform(_pieces(text), lambda p: _let(_bytes(p), lambda w: fold_word(t, w)))))
-    return top.withColumn("__ranks", rank_table(docs.sparkSession, path)).select(F.col("w").alias("word"), ids.alias("ids"))
-
-
-def _key(piece: Column) -> Column:
-    """A piece as the table has it."""
-    return F.when(F.startswith(piece, F.lit(" ")), F.substring(piece, F.lit(2), F.length(piece))).otherwise(F.concat(F.lit(" "), piece))
+def ids_of(spark: SparkSession, text: Column, path: str = VOCABULARY, max_words: int = MAX_WORDS) -> Column:
+    """Token ids (array<int>) of a column of strings."""
+    reach_package(spark)
+    with open(path, "rb") as f:
+        vocabulary = spark.sparkContext.broadcast(f.read())
 
+    def ids(texts: pa.Array) -> pa.Array:
+        return _encode_array(texts, _encoder(vocabulary.value, max_words))
 
-def _word_table(words: DataFrame) -> Column:
-    """The words' ids as one value: maps by hash bucket."""
-    spark = words.sparkSession
-    at = F.hash("word").bitwiseAND(F.lit(WORD_BUCKETS - 1))
-    filled = words.groupBy(at.alias("b")).agg(F.collect_list(F.struct("word", "ids")).alias("e"))
-    buckets = spark.range(WORD_BUCKETS).select(F.col("id").cast("int").alias("i")).join(filled, F.col("i") == F.col("b"), "left").select("i", "e")
-    return buckets.agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "e"))), lambda x: F.map_from_entries(x["e"])).alias("t")).scalar()
+    return F.arrow_udf(ids, returnType="array<int>")(text.cast("binary"))
 
 
 def encode(docs: DataFrame, path: str = VOCABULARY, max_words: int = MAX_WORDS, text_col: str = "text", tokens_col: str = "tokens") -> DataFrame:
     """``docs`` with a column of token ids (array<int>), in place of any so named.
 
     A null text has null tokens, an empty one none.  Texts and words of any
-    length are encoded whole; the time for one unbroken word grows with the
-    square of its length.  Repeated rows are encoded alike; other columns stay
-    as they are; an empty table gives an empty result.  Strings of special
+    length are encoded whole.  Repeated rows are encoded alike; other columns
+    stay as they are; an empty table gives an empty result.  Strings of special
     tokens are ordinary text.
     """
-    text = F.col(text_col)
-
-    def encoded(t: Column, words: Column) -> Column:
-        def known(w: Column) -> Column:
-            return F.element_at(F.get(words, F.hash(w).bitwiseAND(F.lit(WORD_BUCKETS - 1))), w)
-
-        def pieces(s: Column) -> Column:
-            return F.flatten(F.transform(_pieces(s), lambda p: F.coalesce(_let(_key(p), known), _let(_bytes(p), lambda w: fold_word(t, w)))))
-
-        def by_space(parts: Column) -> Column:
-            rest = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda w: F.coalesce(known(w), pieces(F.concat(F.lit(" "), w))))
-            return F.concat(pieces(parts[0]), F.flatten(rest))
-
-        return F.when(F.rlike(text, F.lit(r"(?U)\s\s")), pieces(text)).otherwise(_let(F.split(text, " ", -1), by_space))
-
-    words = _word_table(frequent_words(docs, path, max_words, text_col))
-    # A subquery may not stand inside a lambda; named once and used once, it is put back there by the optimizer.
-    ids = _let(F.struct(F.col("__bpe_ranks").alias("t"), F.col("__bpe_words").alias("w")), lambda x: encoded(x["t"], x["w"]))
-    tables = docs.withColumns({"__bpe_ranks": rank_table(docs.sparkSession, path), "__bpe_words": words})
-    return tables.withColumn(tokens_col, F.when(text.isNotNull(), ids)).drop("__bpe_words", "__bpe_ranks")
+    return docs.withColumn(tokens_col, ids_of(docs.sparkSession, F.col(text_col), path, max_words))
 
 
 @lru_cache(maxsize=4)

@@ -245,6 +245,48 @@ def test_bpe(spark, max_words):
         assert [None if r[0] is None else bytes(r[0]) for r in d.select(bpe.decode(F.col("ids"))).collect()] == [ranks[1] + ranks[2], None, b""]
 
 
+def test_bpe_held(spark):
+    """The ids of one run of white space aren't another's; bytes that aren't UTF-8 come back."""
+    import tiktoken
+
+    texts = ["b\nc d\ne f\ng", "h\ni j\nk", "e  \n", "x \n", "o'll 's\r\n\r\n \u3000y"] * 3
+    enc = tiktoken.Encoding("own", pat_str=r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""", mergeable_ranks=bpe.read_ranks(), special_tokens={})
+    for r in bpe.round_trip(docs(spark, texts).coalesce(1), max_words=8).collect():
+        assert r.tokens == enc.encode_ordinary(texts[r.doc_id]) and r.same
+    raw = spark.sql("select 1L as doc_id, cast(x'61ff20c3c3a962' as string) as text")
+    assert [r.same for r in bpe.round_trip(raw).collect()] == [True]
+
+
+def test_bpe_plan(spark):
+    """Encoding plans no table of words: no job before the rows are asked for, no shuffle, no plan that grows with the texts."""
+    rng = random.Random(8)
+    d, tracker = docs(spark, [words(rng, 300) for _ in range(60)]), spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup(None))
+    done = bpe.encode(d, tokens_col="text_ids")
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert len(tracker.getJobIdsForGroup(None)) == before and "Exchange" not in plan and "Subquery" not in plan
+    assert done.columns == [*d.columns, "text_ids"]
+
+
+def test_bpe_fold():
+    """Words side by side and alone, with few and many held, as tiktoken has them."""
+    import tiktoken
+    from strandline.llm import bpe_fold
+
+    with open(bpe.VOCABULARY, "rb") as f:
+        vocabulary = f.read()
+    enc = tiktoken.Encoding("own", pat_str=r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""", mergeable_ranks=bpe.read_ranks(), special_tokens={})
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdethering  \n\t'slm12,.!é日😀\xa0\x1c\x85") for _ in range(rng.choice([0, 1, 5, 40, 300]))) for _ in range(600)]
+    texts += ["".join(rng.choice("thering") for _ in range(n)) for n in (2, 63, 64, 65, 66, 3000)] + ["ab" * 100_000]
+    for most in (1, 1 << 19):
+        encoder = bpe_fold.Encoder(vocabulary, most)
+        for s in range(0, len(texts), 100):
+            got = encoder.encode(texts[s : s + 100])
+            assert [np.frombuffer(g, np.int32).tolist() for g in got] == [enc.encode_ordinary(t) for t in texts[s : s + 100]]
+            assert len(encoder.old) + len(encoder.new) < max(most, 50_000)
+
+
 def test_quality_brute(spark):
     import math
     from collections import Counter
