@@ -59,3 +59,10 @@ def test_empty(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF_DIR)
     assert docs.count() == 0
+
+
+def test_bpe_stage_plans_no_table(spark):
+    """The last stage leaves nothing of the corpus to the driver: no subquery, and no shuffle."""
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    plan = corpus_pipeline.tokenize(spark, docs, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "Subquery" not in plan and "Exchange" not in plan
