@@ -13,13 +13,14 @@ Decoding concatenates the byte strings of the ids.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from strandline.llm.bpe_fold import Encoder, parse_ranks
-from strandline.llm.common import chunks, reach_package
+from strandline.llm.common import in_parts, reach_package, tidy
 
 #: Where the vocabulary lies; a parameter of every function here.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -63,15 +64,20 @@ def _encoder(vocabulary: bytes, max_words: int) -> Encoder:
 
 def _encode_array(texts: pa.Array, encoder: Encoder) -> pa.Array:
     """Ids of an array of UTF-8 bytes; bytes that aren't UTF-8 are kept as they are."""
-    found: list[bytes] = []
-    own = [None if t is None else t.decode("utf-8", "surrogateescape") for t in texts.to_pylist()]
-    for s, e in chunks([len(t or "") for t in own]):
-        found += encoder.encode([t or "" for t in own[s:e]])
+    found = encoder.encode(["" if t is None else t.decode("utf-8", "surrogateescape") for t in texts.to_pylist()])
     ends = [0]
     for ids in found:
         ends.append(ends[-1] + len(ids) // 4)
     values = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(found))])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=pa.array([t is None for t in own], pa.bool_()))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=texts.is_null())
+
+
+def _encoded(batches: Iterator[pa.Array], encoder: Callable[[], Encoder]) -> Iterator[pa.Array]:
+    """Ids of all batches, in parts; memory that earlier queries of this worker and this task have freed is given back."""
+    tidy()
+    for texts in in_parts(batches):
+        yield _encode_array(texts, encoder())
+    tidy()
 
 
 def ids_of(spark: SparkSession, text: Column, path: str = VOCABULARY, max_words: int = MAX_WORDS) -> Column:
@@ -80,8 +86,8 @@ def ids_of(spark: SparkSession, text: Column, path: str = VOCABULARY, max_words:
     with open(path, "rb") as f:
         vocabulary = spark.sparkContext.broadcast(f.read())
 
-    def ids(texts: pa.Array) -> pa.Array:
-        return _encode_array(texts, _encoder(vocabulary.value, max_words))
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return _encoded(batches, lambda: _encoder(vocabulary.value, max_words))
 
     return F.arrow_udf(ids, returnType="array<int>")(text.cast("binary"))
 

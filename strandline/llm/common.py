@@ -6,7 +6,7 @@ import os
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -71,6 +71,19 @@ def tidy() -> None:
         pass
 
 
+def in_parts(batches: Iterator, texts: Callable = lambda batch: batch) -> Iterator:
+    """``batches`` in slices of about ``CHUNK_CHARS`` bytes of text, in their order; ``texts`` gives a batch's array of them.
+
+    So what a worker holds beside a batch, and what the engine gets back at once,
+    doesn't grow with the batch.  A text is never cut.
+    """
+    import pyarrow.compute as pc
+
+    for b in batches:
+        for s, e in chunks(pc.fill_null(pc.binary_length(texts(b)), 0).to_pylist()):
+            yield b.slice(s, e - s)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

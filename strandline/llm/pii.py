@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from strandline.llm.boosting import Boosted, fit
-from strandline.llm.common import tidy
+from strandline.llm.common import in_parts, tidy
 
 EXAMPLES, SEED = 12_000, 11
 KINDS = ("EMAIL", "PHONE", "IP", "CARD", "SSN", "SECRET", "IBAN")
@@ -296,7 +296,7 @@ def redact(docs: DataFrame, model: PiiModel | None = None, text_col: str = "text
     arrow = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_parts(batches, lambda b: b.column(at)):
             texts = b.column(at).to_pylist()
             found = find(texts, model)
             columns = list(b.columns)
@@ -305,6 +305,7 @@ def redact(docs: DataFrame, model: PiiModel | None = None, text_col: str = "text
             if spans_col:
                 columns.append(pa.array([[dict(zip(("start", "end", "kind", "score"), s)) for s in f] for f in found], arrow))
             yield pa.RecordBatch.from_arrays(columns, [*names, *([spans_col] if spans_col else [])])
+        tidy()
 
     return base.mapInArrow(run, schema)
 

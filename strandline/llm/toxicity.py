@@ -249,12 +249,11 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text") ->
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from strandline.llm.common import chunks
+        from strandline.llm.common import in_parts
 
         scorer = Scorer(model)
-        for b in batches:
-            texts = b.column(b.schema.names.index(text_col)).to_pylist()
-            found = [x for s, e in chunks([len(t or "") for t in texts]) for x in scorer.count(texts[s:e])]
+        for b in in_parts(batches, lambda b: b.column(text_col)):
+            found = scorer.count(b.column(text_col).to_pylist())
             yield b.filter(pa.array([not model.decide(k, n) for k, n in found], pa.bool_()))
         del scorer
         tidy()

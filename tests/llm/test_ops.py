@@ -268,6 +268,45 @@ def test_bpe_plan(spark):
     assert done.columns == [*d.columns, "text_ids"]
 
 
+def test_bpe_parts():
+    """The ids of a large batch leave a worker in parts, in order and whole."""
+    import pyarrow as pa
+    import tiktoken
+    from strandline.llm import bpe_fold
+
+    with open(bpe.VOCABULARY, "rb") as f:
+        encoder = bpe_fold.Encoder(f.read(), 1 << 12)
+    enc = tiktoken.Encoding("own", pat_str=r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""", mergeable_ranks=bpe.read_ranks(), special_tokens={})
+    rng = random.Random(6)
+    some = [*(words(rng, 4000) for _ in range(20)), None, "", "é日😀 " * 20_000]
+    texts = [rng.choice(some) for _ in range(300)] + [words(rng, 5) * 130_000, None]
+    batch = pa.array([None if t is None else t.encode() for t in texts], pa.binary())
+    parts = list(bpe._encoded(iter([batch.slice(0, 100), batch.slice(0, 0), batch.slice(100)]), lambda: encoder))
+    sizes = [sum(len(t.encode()) for t in own if t) for own in np.split(np.array(texts, object), np.cumsum([len(p) for p in parts])[:-1])]
+    assert len(parts) > 5 and all(n <= common.CHUNK_CHARS for n in sizes[:-2]) and max(sizes) > common.CHUNK_CHARS
+    known = {t: None if t is None else enc.encode_ordinary(t) for t in set(texts)}
+    assert [x for p in parts for x in p.to_pylist()] == [known[t] for t in texts]
+
+
+def test_text_stages_in_parts(spark, monkeypatch):
+    """What toxicity and redaction return doesn't depend on where a batch is cut."""
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(150).unionByName(docs(spark, [None, "", "mail a.bee@example.org"]).select("doc_id", "text", "lang", "source", "n_chars")).coalesce(1).cache()
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model, trees = toxicity.fit_on(d, labels), pii.fit_model(2000)
+    scorer, rows = toxicity.Scorer(model), d.collect()
+    clean = [r for r in rows if not model.decide(*scorer.count([r.text])[0])]
+    assert toxicity.drop_toxic(d, model).collect() == clean
+    got = pii.redact(d, trees, spans_col="spans").collect()
+    want = pii.find([r.text for r in rows], trees)
+    assert [(r.doc_id, r.text, [tuple(x) for x in r.spans]) for r in got] == [(r.doc_id, pii.redacted(r.text, s), s) for r, s in zip(rows, want)]
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(["ab" * 400_000, None, "", "c" * 900_000, "d" * 2_000_000, None, "e"])], ["id", "text"])
+    cut = list(common.in_parts([batch, batch.slice(0, 0)], lambda b: b.column(1)))
+    assert [b.column(0).to_pylist() for b in cut] == [[0, 1, 2], [3], [4], [5, 6]]
+    assert pa.Table.from_batches(cut).equals(pa.Table.from_batches([batch]))
+
+
 def test_bpe_fold():
     """Words side by side and alone, with few and many held, as tiktoken has them."""
     import tiktoken
