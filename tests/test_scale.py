@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 from strandline.graph import PropertyGraph
-from strandline.operators import structure, traverse
+from strandline.operators import change, lookup, structure, traverse, verify
 
 
 def graph(spark, nodes, edges):
@@ -47,3 +47,39 @@ def test_components_of_a_long_path(spark, monkeypatch, chunk):
     got = {r.id: r.component for r in traverse.components(g).collect()}
     assert got == {i: min(half) for half in (n[:200], n[200:]) for i in half if i != n[-1]}
     assert len(rows) < 12
+
+
+def test_id_grammar_sorts_one_range(spark, monkeypatch):
+    rows = counted(monkeypatch, lookup)
+    n = [f"a:x:{i:03}" for i in range(301)] + ["a:y:0", "a:z:1", "a:z:2"]
+    edges = [(n[0], i, "calls") for i in n[5:]] + [(n[1], n[2], "calls")]
+    g = graph(spark, n, edges)
+    degree = {i: sum((a == i) + (b == i) for a, b, _ in edges) for i in n}
+    kinds = {}
+    for i in sorted(n, key=lambda i: (degree[i], i)):
+        kinds.setdefault(i[:3], []).append(i)
+    assert {r.example: r.n for r in lookup.id_grammar(g).collect()} == {k[len(k) // 2]: len(k) for k in kinds.values()}
+    assert len(rows) == 2 and rows[1] == sum(degree[i] == degree[k[len(k) // 2]] for k in kinds.values() for i in k)
+
+
+def test_rare_keys_are_grouped_after_the_shuffle(spark):
+    g = graph(spark, ["a:x:0"], [("a:x:0", f"a:x:{i}", "calls") for i in range(9)])
+    for t in (g.degree(), traverse.arcs(g.edges, "both")):
+        assert "REPARTITION_BY_NUM" in t._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in traverse.steps(g.edges, "both")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hot_nodes_count_degrees_once(spark, monkeypatch):
+    rows = counted(monkeypatch, lookup)
+    n = [f"a:x:{i}" for i in range(8)]
+    g = graph(spark, n, [(a, b, "calls") for k, a in enumerate(n) for b in n[k + 1 : 7]])
+    assert [r.id for r in change.hot_nodes(g, g.nodes, 3, 2).collect()] == n[2:5] and rows == [8]
+
+
+def test_no_walk_for_equations_with_declared_tests(spark, monkeypatch):
+    rows = counted(monkeypatch, traverse)
+    n = ["a:function:f", "a:function:g", "a:function:t", "m:equation:1", "m:equation:2"]
+    g = graph(spark, n, [(n[0], n[3], "implements"), (n[2], n[3], "tests"), (n[2], n[0], "calls"), (n[1], n[0], "calls")])
+    g = PropertyGraph(g.nodes.withColumn("is_test", F.col("name") == "t"), g.edges)
+    assert [(r.equation, r.test, r.tier) for r in verify.evidence(g).collect()] == [(n[3], n[2], "declared")] and rows == [0]
+    assert {r.key: r.n for r in verify.summary(g, spark.createDataFrame([(n[1], n[2])], "node_id string, test_id string")).collect()} == {"verified": 1, "documented": 1, "orphan_code": 1, "tested": 1, "claims_refuted": 1, "executed_unclaimed": 1}
