@@ -83,3 +83,15 @@ def test_no_walk_for_equations_with_declared_tests(spark, monkeypatch):
     g = PropertyGraph(g.nodes.withColumn("is_test", F.col("name") == "t"), g.edges)
     assert [(r.equation, r.test, r.tier) for r in verify.evidence(g).collect()] == [(n[3], n[2], "declared")] and rows == [0]
     assert {r.key: r.n for r in verify.summary(g, spark.createDataFrame([(n[1], n[2])], "node_id string, test_id string")).collect()} == {"verified": 1, "documented": 1, "orphan_code": 1, "tested": 1, "claims_refuted": 1, "executed_unclaimed": 1}
+
+
+def test_twins_propose_by_rare_shingles(spark, monkeypatch):
+    rows = counted(monkeypatch, structure)
+    r = random.Random(2)
+    sets = {i: set(r.sample(range(300), 20)) for i in range(60)}
+    sets |= {100 + i: (sets[i] - {min(sets[i])}) | {1000 + i} for i in range(20)}
+    s = spark.createDataFrame([(i, f"s{x}") for i, own in sets.items() for x in own], "id long, shingle string")
+    for least in (0.7, 0.25):
+        want = {(a, b): round(len(x & y) / len(x | y), 4) for a, x in sets.items() for b, y in sets.items() if a < b and len(x & y)}
+        assert {(p.a, p.b): p.similarity for p in structure.twin_paths(s, min_similarity=least).collect()} == {k: v for k, v in want.items() if v >= least}
+    assert rows[2] < len(want) / 4
