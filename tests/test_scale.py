@@ -1,5 +1,6 @@
 """Steps whose tables must not outgrow their input."""
 
+import os
 import random
 
 import pytest
@@ -95,3 +96,27 @@ def test_twins_propose_by_rare_shingles(spark, monkeypatch):
         want = {(a, b): round(len(x & y) / len(x | y), 4) for a, x in sets.items() for b, y in sets.items() if a < b and len(x & y)}
         assert {(p.a, p.b): p.similarity for p in structure.twin_paths(s, min_similarity=least).collect()} == {k: v for k, v in want.items() if v >= least}
     assert rows[2] < len(want) / 4
+
+
+def test_shortest_path_leaves_the_last_round_out(spark, monkeypatch):
+    rows = counted(monkeypatch, traverse)
+    n = [f"a:x:{i}" for i in range(40)]
+    g = graph(spark, n, [(n[0], n[1], "calls"), (n[0], n[2], "calls"), (n[3], n[1], "calls"), (n[3], n[2], "uses")] + [(n[1], i, "calls") for i in n[4:]] + [(n[1], n[0], "a")])
+    path = traverse.shortest_path(g, n[0], n[3])
+    assert [r.id for r in path.orderBy("hop").collect()] == [n[0], n[1], n[3]] and 36 not in rows
+    assert [tuple(r)[1:] for r in traverse.path_edges(g, path).orderBy("hop").collect()] == [(n[0], n[1], "calls"), (n[3], n[1], "calls")]
+    assert [r.id for r in traverse.shortest_path(g, n[0], n[0]).collect()] == [n[0]] and traverse.shortest_path(g, n[0], "a:x:none").count() == 0
+
+
+def test_communities_keep_one_round(spark, monkeypatch):
+    kept, cut = [], traverse.cut
+
+    def write(df):
+        kept.append(cut(df))
+        return kept[-1]
+
+    monkeypatch.setattr(traverse, "cut", write)
+    n = [f"a:x:{i:02}" for i in range(14)]
+    traverse.communities(graph(spark, n, [(a, b, "calls") for a, b in zip(n, n[1:])])).collect()
+    there = [os.path.exists(t.inputFiles()[0].removeprefix("file://")) for t in kept]
+    assert len(kept) > 3 and there == [True] + [False] * (len(kept) - 2) + [True]
